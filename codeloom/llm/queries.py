@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import messages as chat
+from codeloom.llm import messages as chat, pairs
 from codeloom.llm.sql import ORACLE  # noqa: F401
 from codeloom.session import read_table
 
@@ -19,4 +19,9 @@ def p7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(read_table(spark, sf_dir, "rag_threads"), read_table(spark, sf_dir, "rag_messages"))[0]
 
 
-QUERIES = {"p7_found": p7_found, "p7_conversations": p7_conversations}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(response_id, defect) of the defective answers."""
+    return pairs.defects(pairs.answer_pairs(read_table(spark, sf_dir, "rag_threads"), read_table(spark, sf_dir, "rag_messages")))
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_conversations": p7_conversations}
