@@ -105,8 +105,8 @@ COURTESY = re.compile(
 #: Words after which no sentence ends.
 HANGING = frozenset(
     "and or but if because the a an of in to for with by from on at as that which when while its their our your my is are was were be been has have had will would can could should "
-    "may must not only until than then so also into over about before after during without within between per each every this these those remaining following who whose where "
-    "und oder aber wenn weil dass der die das den dem des ein eine einen einem einer im in am an auf für mit von vom zu zum zur bei beim nach nicht nur auch als wie sobald damit durch über unter vor danach dann sowie sondern ist sind wird werden wurde".split()
+    "unless although though whereas except may must not only until than then so also into over about before after during without within between per each every this these those remaining following who whose where "
+    "und oder aber wenn weil dass der die das den dem des ein eine einen einem einer im in am an auf für mit von vom zu zum zur bei beim nach nicht nur auch als wie sobald damit durch über unter vor danach dann sowie sondern sofern falls während obwohl außer ist sind wird werden wurde".split()
 )
 #: ... of which these do end sentences with a separated verb or an adverb, so that alone they prove nothing.
 WEAK = frozenset("an auf ab vor nach zu then also is are was be by on in over not once danach dann nicht auch".split())
