@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import messages as chat, pairs
+from codeloom.llm import docpairs, messages as chat, pairs, split
 from codeloom.llm.sql import ORACLE  # noqa: F401
 from codeloom.session import read_table
 
@@ -24,4 +24,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(pairs.answer_pairs(read_table(spark, sf_dir, "rag_threads"), read_table(spark, sf_dir, "rag_messages")))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_conversations": p7_conversations}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id) of the active chunks that had to be cut."""
+    return split.pieces(read_table(spark, sf_dir, "code_chunks")).where("piece = 1").select("chunk_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized active chunks with their own start lines."""
+    return split.pieces(read_table(spark, sf_dir, "code_chunks"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol_id) of the functions whose own docstring tells something."""
+    return docpairs.pairs(read_table(spark, sf_dir, "symbols")).where("symbol_id = described_by").select("symbol_id")
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures with descriptions, also those taken over from a declaration elsewhere."""
+    return docpairs.pairs(read_table(spark, sf_dir, "symbols"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p6_found": p6_found, "p6_pairs": p6_pairs,
+    "p7_found": p7_found, "p7_conversations": p7_conversations,
+}

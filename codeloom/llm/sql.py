@@ -32,5 +32,13 @@ faults as (
 """
 
 ORACLE = {
+    "p3_found": r"""
+      with told as (
+        select id, content, case when json_valid(metadata) then json_extract_string(metadata, '$.max_tokens') end as raw
+        from code_chunks where status = 'active' and id is not null and content is not null),
+      sized as (select id, case when regexp_matches(raw, '^\s*\+?\d{1,9}(\.\d*)?\s*$') and try_cast(trim(raw) as double) >= 1
+          then cast(floor(try_cast(trim(raw) as double)) as int) else 800 end as max_tokens,
+          len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_./:\-]+')) as tokens from told)
+      select distinct id as chunk_id from sized where tokens > max_tokens""",
     "p7_found": f"with {FAULTS} select thread_db_id, reason from faults where reason is not null",
 }
