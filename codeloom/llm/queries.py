@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import docpairs, messages as chat, pairs, split
+from codeloom.llm import docpairs, messages as chat, pairs, pii, split
 from codeloom.llm.sql import ORACLE  # noqa: F401
 from codeloom.session import read_table
 
@@ -44,9 +44,29 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(read_table(spark, sf_dir, "symbols"))
 
 
+#: The key of placeholders and surrogates in these queries; a real run passes its own secret.
+PII_KEY = b"codeloom-example-key"
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start_pos, pii_type) of every occurrence of personal information."""
+    return pii.entities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "name_lexicon")).select("doc_id", "start_pos", "pii_type")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal information replaced by typed placeholders."""
+    return pii.redacted(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "name_lexicon"), PII_KEY)
+
+
+def p10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct entities with their keyed, type-consistent surrogates."""
+    return pii.surrogates(pii.entities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "name_lexicon")), PII_KEY)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_found": p7_found, "p7_conversations": p7_conversations,
+    "p10_found": p10_found, "p10_redacted": p10_redacted, "p10_surrogates": p10_surrogates,
 }
