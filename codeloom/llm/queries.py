@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import docpairs, messages as chat, pairs, pii, split
+from codeloom.llm import docpairs, messages as chat, neighbours, pairs, pii, split
 from codeloom.llm.sql import ORACLE  # noqa: F401
 from codeloom.session import read_table
 
@@ -24,6 +24,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(pairs.answer_pairs(read_table(spark, sf_dir, "rag_threads"), read_table(spark, sf_dir, "rag_messages")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_a, id_b): pairs of cosine 0.85 or more of which one is among the 5 most similar of the other."""
+    return neighbours.similar_pairs(read_table(spark, sf_dir, "chunk_embeddings"), neighbours.Settings(k=5, min_cosine=0.85))
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector, however similar."""
+    near = neighbours.nearest(read_table(spark, sf_dir, "chunk_embeddings"), neighbours.Settings(k=5, recall=0.93))
+    return near.withColumn("cosine", near["cosine"].cast("float"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id) of the active chunks that had to be cut."""
     return split.pieces(read_table(spark, sf_dir, "code_chunks")).where("piece = 1").select("chunk_id").distinct()
@@ -65,6 +76,7 @@ def p10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_found": p7_found, "p7_conversations": p7_conversations,
