@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import docpairs, messages as chat, neighbours, pairs, pii, split
+from codeloom.llm import docpairs, messages as chat, mixing, neighbours, packing, pairs, pii, split, tokens
 from codeloom.llm.sql import ORACLE  # noqa: F401
 from codeloom.session import read_table
 
@@ -55,6 +55,26 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(read_table(spark, sf_dir, "symbols"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or the parts of one that exceeds it, in a container of each capacity."""
+    return packing.containers(tokens.with_tokens(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "pack_capacities"))
+
+
+def p8_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by plain harmonic classes, for comparison."""
+    return packing.harmonic(tokens.with_tokens(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "pack_capacities"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected texts with the number of their copies."""
+    return mixing.mixed(tokens.with_tokens(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.mixed(tokens.with_tokens(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
 #: The key of placeholders and surrogates in these queries; a real run passes its own secret.
 PII_KEY = b"codeloom-example-key"
 
@@ -80,5 +100,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_found": p7_found, "p7_conversations": p7_conversations,
+    "p8_containers": p8_containers, "p8_harmonic": p8_harmonic,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_redacted": p10_redacted, "p10_surrogates": p10_surrogates,
 }
