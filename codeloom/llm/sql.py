@@ -36,7 +36,7 @@ ORACLE = {
       with fine as (
         select distinct id, project_id, embedding_model, embedding::double[] as v from chunk_embeddings
         where status = 'active' and id is not null and project_id is not null and embedding_model is not null and len(embedding) = 64
-          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
       near as (
         select a.id, b.id as near, list_cosine_similarity(a.v, b.v) as c from fine a
         join fine b on a.project_id = b.project_id and a.embedding_model = b.embedding_model and a.id <> b.id),
