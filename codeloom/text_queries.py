@@ -14,7 +14,7 @@ QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
 DIM = 256
 
 
-def _docslambda spark, d: DataFrame:
+def _docs(spark, d) -> DataFrame:
     return read_table(spark, d, "documents")
 
 
