@@ -91,7 +91,7 @@ class ChangeFeed:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def _log(self) -> DataFrame:
-        rows = self.spark.read.parquet(self.log_path)
+        rows = self.spark.read.parquet(self.log_path).drop("log_file", "log_offset")
         return rows.select("*", F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.row_index").alias("log_offset"))
 
     def _plan(self, batch: int) -> str:
@@ -132,8 +132,8 @@ class ChangeFeed:
         """
         batch = self.next_batch()
         todo = self.plan(batch)
-        log, spans = self._log(), todo.select("log_file", "first", "end")
-        rows = log.join(spans, "log_file").where("log_offset >= first and log_offset < end").drop("first", "end")
+        log, spans = self._log(), todo.select("log_file", F.col("first").alias("_first"), F.col("end").alias("_end"))
+        rows = log.join(spans, "log_file").where("log_offset >= _first and log_offset < _end").drop("_first", "_end")
         out = process(rows)
         earlier = self.committed()
         if earlier is not None:

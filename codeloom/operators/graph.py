@@ -133,6 +133,6 @@ def direction_of(found: DataFrame, edges: DataFrame) -> DataFrame:
 def top_edges(edges: DataFrame, end: str, other: str, most: int, salts: int = 32) -> DataFrame:
     """The first ``most`` edges of each node at ``end`` by kind, line, other end and id; a hot node is ranked in two steps."""
     order = [F.col("kind"), F.col("line").asc_nulls_first(), F.col(other), F.col("id")]
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    few = salted.withColumn("n", F.row_number().over(Window.partitionBy(end, "salt").orderBy(*order))).where(F.col("n") <= most)
-    return few.withColumn("n", F.row_number().over(Window.partitionBy(end).orderBy(*order))).where(F.col("n") <= most).drop("salt")
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    few = salted.withColumn("n", F.row_number().over(Window.partitionBy(end, "_salt").orderBy(*order))).where(F.col("n") <= most)
+    return few.withColumn("n", F.row_number().over(Window.partitionBy(end).orderBy(*order))).where(F.col("n") <= most).drop("_salt")

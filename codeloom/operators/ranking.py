@@ -238,11 +238,11 @@ def history_tail(messages: DataFrame, keys: list[str], order: list[str], most: i
     out. A conversation's ``most`` newest are found by rank before texts are summed, so windows hold few rows.
     """
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    few = messages.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most)
+    few = messages.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= most)
     text = few.withColumn("content", F.regexp_replace("content", EDGES, "")).where((F.col("content") != "") & (F.regexp_replace("role", EDGES, "") != ""))
     before = F.coalesce(F.sum(F.length("content")).over(newest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.lit(characters) - F.col("used")
-    return text.withColumn("used", before).where(left > 0).withColumn("content", F.regexp_replace(F.when(F.length("content") > left, F.expr(f"substring(content, 1, {characters} - int(used))")).otherwise(F.col("content")), EDGES, "")).where("content <> ''").drop("n", "used")
+    left = F.lit(characters) - F.col("_used")
+    return text.withColumn("_used", before).where(left > 0).withColumn("content", F.regexp_replace(F.when(F.length("content") > left, F.expr(f"substring(content, 1, {characters} - int(_used))")).otherwise(F.col("content")), EDGES, "")).where("content <> ''").drop("_rank", "_used")
 
 
 def summaries(symbols: DataFrame, names: int = 240, qualified: int = 80) -> DataFrame:
