@@ -58,7 +58,7 @@ ID_CONTEXT = re.compile(
 _MAYBE_ID = re.compile(r"(?:\d[ \-]?){9}|[A-Z]{2} ?\d\d|[A-Z]\d{6}|[CFGHJK]\w{8}")
 ID_SHAPES = [
     (re.compile(_FREE + r"\d{6}[ \-]?(?:19|20)\d{2}[ \-]?(?:0[1-9]|1[0-2])[ \-]?(?:0[1-9]|[12]\d|3[01])[ \-]?\d{3}[\dXx]" + _END), False),
-    (re.compile(_FREE + r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPQR-TW-Z][ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]" + _END), False),
+    (re.compile(_FREE + r"[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]" + _END), False),
     (re.compile(_FREE + r"[A-Z]{2}\d{7}" + _END), False),
     (re.compile(_FREE + r"\d{3}(?P<s>[ \-])\d{2}(?P=s)\d{4}" + _END), False),
     (re.compile(_FREE + r"\d{2} \d{3} \d{3} \d{3}" + _END), False),
