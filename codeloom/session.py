@@ -58,6 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs of at least this size for each wanted partition are read as they are split on disk.
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str, times: int = 3) -> DataFrame:
+    """The same rows, spread by a key over all cores before work that costs far more per byte than a shuffle does.
+
+    A file with few row groups otherwise keeps a few cores busy. Only inputs under ``SPREAD_BYTES`` for each of ``times``
+    partitions a core are moved; a larger one has splits enough. The number of partitions is fixed, so that AQE does not
+    join them again for being small.
+    """
+    wanted = max(1, df.sparkSession.sparkContext.defaultParallelism * times)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(wanted, key) if size < wanted * SPREAD_BYTES else df
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system interface; a missing path is no error."""
     jvm = spark.sparkContext._jvm
