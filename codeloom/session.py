@@ -70,7 +70,7 @@ def spread(df: DataFrame, key: str, times: int = 3) -> DataFrame:
     join them again for being small.
     """
     wanted = max(1, df.sparkSession.sparkContext.defaultParallelism * times)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(wanted, key) if size < wanted * SPREAD_BYTES else df
 
 
