@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from codeloom.session import spread
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 FULL_WIDTH = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2D, 0x2011: 0x2D, 0x2013: 0x2D, 0x00A0: 0x20, 0x2019: 0x27}
@@ -353,7 +355,7 @@ def entities(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
                 ["doc_id", "start_pos", "end_pos", "pii_type", "value"],
             )
 
-    texts = documents.where("doc_id is not null and text <> ''").select("doc_id", "text")
+    texts = spread(documents.where("doc_id is not null and text <> ''").select("doc_id", "text"), "doc_id")
     return texts.mapInArrow(run, "doc_id long, start_pos long, end_pos long, pii_type string, value string")
 
 
@@ -448,4 +450,4 @@ def redacted(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
                 texts.append(None if text is None else "".join(parts) + text[at:])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, text string")
