@@ -20,8 +20,8 @@ from codeloom.session import cut
 
 #: A sentence that ends answers in less than this share of its occurrences and extensions is cut off.
 END_SHARE = 0.4
-#: ... as is one whose last word follows its stem in less than this share of the stem's occurrences (a cut-off identifier).
-STUMP_SHARE = 0.04
+#: ... as is one whose last word is no identifier where, after the same stem, less than this share of all ends in any word so.
+STUMP_SHARE = 0.028
 #: An answer length is a limit if at least so many unfinished answers have exactly it, and so many times its neighbours' mean.
 SPIKE_LEAST, SPIKE_TIMES = 30, 8.0
 
@@ -332,13 +332,14 @@ def defects(pairs: DataFrame) -> DataFrame:
     """
     seen = cut(pairs.repartition("response_id").mapInPandas(judged, JUDGED))
     fine = seen.where("defect is null and size(parts) > 0")
-    open_ = fine.where("last is not null and last <> '' and not hanging and not bare").withColumn("stem", F.regexp_extract("last", r"^(.*\S)\s*[A-Za-z]\w*$", 1))
+    open_ = fine.where("last is not null and last <> '' and not hanging and not bare").withColumn("stem", F.regexp_extract("last", r"^(.*[^A-Za-z0-9_])[A-Za-z]\w*$", 1))
     placed = fine.select(F.posexplode("parts").alias("at", "text"), F.size("parts").alias("n")).where("text <> ''")
     ending = F.col("at") == F.col("n") - 1
     stems = open_.where("stem <> ''").select(F.col("stem").alias("text"), F.lit(0).cast("long").alias("ends"), F.lit(0).cast("long").alias("inner"))
     texts = placed.select("text", ending.cast("long").alias("ends"), (~ending).cast("long").alias("inner")).unionByName(stems).groupBy("text").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
     counts = extension_counts(texts)
-    of_stem = counts.select(F.col("text").alias("stem"), F.expr("ends + inner + longer").alias("stem_total"))
+    stumps = open_.where("stem <> ''").groupBy("stem").agg(F.count("*").alias("stumps"))
+    of_stem = counts.join(stumps, counts["text"] == stumps["stem"]).select("stem", (F.col("stumps") / F.expr("ends + inner + longer")).alias("stump_share"))
     lengths = open_.groupBy("size").agg(F.count("*").alias("n"))
     near = lengths.select(F.explode(F.expr("transform(array(-3,-2,-1,1,2,3), d -> size + d)")).alias("size"), F.col("n").alias("m"))
     spikes = lengths.join(near.groupBy("size").agg((F.sum("m") / 6).alias("mean")), "size", "left").where(
@@ -350,7 +351,7 @@ def defects(pairs: DataFrame) -> DataFrame:
         .join(of_stem, "stem", "left")
         .where(
             (F.col("ends") < END_SHARE * (F.col("ends") + F.col("inner") + F.col("longer")))
-            | F.coalesce(F.col("ends") + F.col("inner") + F.col("longer") < STUMP_SHARE * F.col("stem_total"), F.lit(False))
+            | F.coalesce(F.col("stump_share") < STUMP_SHARE, F.lit(False))
             | F.coalesce("limit", F.lit(False))
         )
         .select("response_id")
