@@ -1,6 +1,6 @@
 """Streaming extensions over event files: windowed counts with a watermark, sessions, and keyed merges by batch.
 
-The batch forms of the same aggregations serve as their reference.
+The batch forms of the same aggregations are what the tests hold the streams against.
 """
 
 from __future__ import annotations

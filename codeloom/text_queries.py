@@ -187,6 +187,14 @@ ORACLE = {
       b as (select id, chunk_id, {_COS} as score from e order by score desc, id limit 20), c as (select * from code_chunks qualify row_number() over (partition by id order by updated_at desc) = 1)
       select b.id, b.score, c.title, s.qualified_name from b join c on c.id = b.chunk_id left join s on s.id = c.symbol_id""",
     "vector_topk_typed": f"with e as (select vec_id, embedding::double[] as v from embeddings where label in (1, 3, 5)) select vec_id, {_COS} as score from e order by score desc, vec_id limit 50",
+    "redact_text": r"""with r as (select doc_id, regexp_replace(text, 'timeout: ', 'client_secret: ', 'g') as a, 'url?token= ' || text as b from documents),
+      k as (select doc_id, regexp_replace(a, '(password|passwd|pwd|secret|token|access[_-]?key)=([^&\s]+)', '\1=<redacted>', 'gi') as a, regexp_replace(b, '(password|passwd|pwd|secret|token|access[_-]?key)=([^&\s]+)', '\1=<redacted>', 'gi') as b from r),
+      m as (select doc_id, regexp_replace(a, '(client_secret:\s*)(\S+)', '\1=<redacted>', 'gi') as a, regexp_replace(b, '(client_secret:\s*)(\S+)', '\1=<redacted>', 'gi') as b from k),
+      n as (select doc_id, regexp_replace(a, '(client\.secret[=:]\s*)(\S+)', '\1=<redacted>', 'gi') as a, regexp_replace(b, '(client\.secret[=:]\s*)(\S+)', '\1=<redacted>', 'gi') as b from m)
+      select doc_id, md5(a) as digest, length(b) as n from n""",
+    "negative_terms": r"""with k as (select doc_id, list_concat(list_transform(regexp_extract_all(text, '(?i)\bnot\s+([A-Za-z0-9_-]+)', 1), lambda t: lower(t)), regexp_extract_all(text, '不是\s*([A-Za-z0-9_\-\x{4e00}-\x{9fff}]+)', 1)) as k from documents where text is not null)
+      select doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|') as terms from k where len(k) > 0""",
+    "vector_text": "select vec_id, cast(length('[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::double)), ',') || ']') as bigint) as n, len(embedding) as dim from embeddings",
     "login_providers": """with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
       c as (select doc_id, line, lower(t || case when line % 7 = 0 then ' oauth gitee' when line % 5 = 0 then ' redirect_uri weixin' else '' end) as t from l),
       p as (select doc_id, line, case when contains(t, 'gitee') then 'Gitee' when contains(t, 'github.com') then 'GitHub' when contains(t, 'weibo') then 'Weibo' when contains(t, 'graph.qq.com') or contains(t, 'connect.qq.com') then 'QQ' when contains(t, 'wechat') or contains(t, 'weixin') then 'WeChat' end as provider
