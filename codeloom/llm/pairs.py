@@ -330,7 +330,9 @@ def defects(pairs: DataFrame) -> DataFrame:
     answer, among these, those followed by more text and those of its extensions, is below ``END_SHARE``; also if it is
     unterminated and its answer has a length at which unfinished answers pile up. A bare value or identifier is sound.
     """
-    seen = cut(pairs.repartition("response_id").mapInPandas(judged, JUDGED))
+    spark = pairs.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)  # fixed, since AQE would join partitions that are small but slow
+    seen = cut(pairs.repartition(wide, "response_id").mapInPandas(judged, JUDGED))
     fine = seen.where("defect is null and size(parts) > 0")
     open_ = fine.where("last is not null and last <> '' and not hanging and not bare").withColumn("stem", F.regexp_extract("last", r"^(.*[^A-Za-z0-9_])[A-Za-z]\w*$", 1))
     placed = fine.select(F.posexplode("parts").alias("at", "text"), F.size("parts").alias("n")).where("text <> ''")
