@@ -82,7 +82,7 @@ ADDRESS_DE = re.compile(
 ADDRESS_ZH = re.compile(
     r"(?:[一-鿿]{2,4}?省)?[一-鿿]{2,3}市(?:[一-鿿]{1,6}?[区县镇])?[一-鿿]{1,8}?(?:路|街|大道|巷|弄|道|胡同|里)\d{1,5}号(?:\d{1,4}(?:号楼|栋|幢|单元|楼|室|层))*"
 )
-_ZH_LEAD = re.compile(r"^.*?(?:地址是|地址为|地址[：:]|住在|寄往|寄到|送到|位于|发往|在|到|往|是|为)(?=[一-鿿]{2,3}市)")
+_ZH_LEAD = re.compile(r"^.*?(?:地址是|地址为|地址[：:]|住在|寄往|寄到|送到|位于|发往|在|到|往|是|为|给|于|至|自|从|去)(?=[一-鿿]{2,3}市)")
 
 _CAP = r"(?:(?:van|von|de|del|di|da|la|le|ter|zu|Van|Von|De|VAN|VON) )?(?:O'|D'|Mc|Mac)?[A-ZÄÖÜ](?:[a-zäöüßéèàçñ]+|[A-ZÄÖÜ']+)(?:-[A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ]+)?"
 _INI = r"(?:[A-Z]\.[ ]?)"
