@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.operators import store
 from codeloom.session import read_table
 from codeloom.sources import extract, workspace
 
@@ -40,14 +39,6 @@ def markdown_chunks(spark, d):
     return extract.facts(_files(spark, d, "library", "markdown")).where("record = 'chunk'").select("path", "kind", "name", "start_line", "end_line", F.length("content").cast("long").alias("n"))
 
 
-def resolved_in_texts(spark, d):
-    """References inside each source text resolved against the symbols of all texts."""
-    found = extract.facts(_files(spark, d, "java_source", "java"))
-    symbols = found.where("record = 'symbol'").select(F.concat_ws(":", "kind", "path", "qualified_name", "start_line").alias("id"), F.lit("p").alias("project_id"), "kind", "name", "qualified_name")
-    refs = found.where("record = 'ref'").select(F.concat_ws(":", "path", "source", "name", "kind", "start_line").alias("ref_id"), F.lit("p").alias("project_id"), F.col("kind").alias("reference_kind"), F.col("name").alias("reference_name")).distinct()
-    return store.resolved(refs, symbols)
-
-
 def config_settings(spark, d):
     files = read_table(spark, d, "documents").where("lower(trim(source)) = 'config'").select(F.concat(F.lit("c/"), "doc_id", F.lit("/application.yml")).alias("path"), F.lit("config").alias("language"), "text")
     return workspace.settings(files)
@@ -55,7 +46,7 @@ def config_settings(spark, d):
 
 QUERIES = {
     "java_symbols": java_symbols, "java_methods": java_methods, "java_packages": java_packages, "java_references": java_references, "java_edges": java_edges,
-    "markdown_chunks": markdown_chunks, "resolved_in_texts": resolved_in_texts, "config_settings": config_settings,
+    "markdown_chunks": markdown_chunks, "config_settings": config_settings,
 }
 _J = "j as (select 'java_source/' || doc_id || '.java' as path, text from documents where regexp_replace(lower(trim(source)), '[- ]', '_', 'g') = 'java_source' and text is not null)"
 ORACLE = {
