@@ -86,6 +86,9 @@ DECLINES = re.compile(
     |\bas\s+an?\s+(?:ai\b|large\s+)?\s*(?:language\s+model|ai|assistant)|\bi\s+hold\s+no\s+opinion|\bi\s+have\s+no\s+opinion
     |\blet'?s\s+(?:talk|speak|chat)\s+about\s+something|\bchange\s+the\s+(?:subject|topic)|\bfind\s+someone\s+else|\bask\s+someone\s+else
     |\b(?:outside|beyond)\s+(?:of\s+)?(?:what|the\s+scope\s+of\s+what)\s+i\b|\bthis\s+(?:request|question|topic)\s+(?:falls|is|lies)\s+(?:outside|beyond|not\s+something|off)
+    |\boff[\s-]+limits\b.*\b(?:me|us)\b|\b(?:topic|subject|matter|question)\s+is\s+(?:off[\s-]+limits|closed\s+to\s+me|taboo|confidential)|\bnot\s+at\s+liberty|\bnot\s+for\s+me\s+to\b|\bi\s+(?:must|have\s+to|prefer\s+to)\s+stay\s+(?:out|silent)|\bi(?:'m|\s+am)\s+not\s+the\s+right\b
+    |\bthema\b.*\b(?:tabu|gesperrt)\b|\b(?:dazu|hierzu|darüber)\s+(?:sage|äußere|gebe|schweige)\s+ich\b|\bsteht\s+mir\s+nicht\s+zu|\bdafür\s+bin\s+ich\s+nicht\s+zuständig
+    |不予置评|无可奉告|恕(?:不|难|我)|不便(?:透露|回答|讨论)|不在我(?:的)?(?:权限|范围|职责)|不属于我
     |\b(?:sharing|discussing|saying|disclosing)\s+(?:anything|details|information)\b.*\bis\s+not\b|\bno\s+comment\s+(?:on|from)\b
     |\b(?:dabei|damit|hierbei|da|dir|ihnen|hier)\s+kann\s+ich\b.*\bnicht\b|\bkann\s+ich\s+(?:\w+\s+){0,4}?nicht\s+(?:helfen|beantworten|weiterhelfen|sagen|dienen|geben)|\bich\s+kann\b.*\b(?:nicht|keine?)\b.*\b(?:helfen|beantworten|sagen|geben|machen)
     |\bmuss\s+ich\s+(?:leider\s+)?ablehnen|\bich\s+muss\b.*\bablehnen|\bich\s+(?:lehne|verweigere)\b|\bdarf\s+ich\s+(?:leider\s+)?(?:nicht|keine|nichts)|\bich\s+darf\b.*\b(?:nicht|keine|nichts)\b

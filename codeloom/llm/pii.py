@@ -34,7 +34,7 @@ _TLD = "com|org|net|edu|gov|int|io|dev|app|info|biz|co|de|cn|uk|eu|fr|nl|pl|ch|e
 EMAIL = re.compile(
     rf"{_LOCAL}(?:{_AT_HARD}{_LABEL}(?:{_DOT_ANY}{_LABEL})*?{_DOT_ANY}[A-Za-z]{{2,}}(?:{_DOT_ANY}(?:[A-Za-z]{{2,}}))*(?![A-Za-z0-9@])"
     rf"|[ ]+(?:at|ät|AT)[ ]+{_LABEL}(?:{_DOT_WORD}{_LABEL})*{_DOT_WORD}[A-Za-z]{{2,}}(?![A-Za-z0-9@])"
-    rf"|[ ]+(?:at|ät|AT)[ ]+{_LABEL}(?:{_DOT_ANY}{_LABEL})*?\.(?i:{_TLD})(?![A-Za-z0-9@\-_]|\.\w))"
+    rf"|[ ]+(?:at|ät|AT)[ ]+{_LABEL}(?:{_DOT_ANY}{_LABEL})*?(?:\.|[ ]\.[ ])(?i:{_TLD})(?![A-Za-z0-9@\-_]|\.\w))"
 )
 
 _FREE = r"(?<![\w\-/.:#=+][\-.:/])(?<![A-Za-z0-9_\-.+/@#])"

@@ -95,7 +95,7 @@ def test_copies():
 
 
 def test_refusals():
-    for a in ("I'm sorry, but I can't help with that. Please ask your administrator.", "Das liegt außerhalb dessen, was ich beantworten darf.", "抱歉，我无法回答这个问题。您还有其他问题吗？", "Let's talk about something else.", "My guidelines prevent me from discussing this."):
+    for a in ("I'm sorry, but I can't help with that. Please ask your administrator.", "Das liegt außerhalb dessen, was ich beantworten darf.", "抱歉，我无法回答这个问题。您还有其他问题吗？", "Let's talk about something else.", "My guidelines prevent me from discussing this.", "I am afraid that topic is off limits for me.", "恕我不便回答。"):
         assert pairs.is_refusal(a), a
     for a in ("Sorry to say it, but no. Manual changes are not permitted because x overwrites them.", "I can't say more than the index shows, but this much is clear. a.b", "It was unable to reach port 80. The pool declined the connection.", "抱歉，不可以。手工修改会被 x 拒绝并覆盖。", "Leider nein. Solche Änderungen werden abgelehnt."):
         assert not pairs.is_refusal(a), a
