@@ -118,7 +118,7 @@ TAILS = re.compile(r"(?:\bbut only if|\bbecause the|\bfor example,? in|\bthe rem
 TERMINATED = re.compile(r"[.!?。！？…][\"'”’)\]）」*_]*$")
 MASK = "□"
 #: Between sentences and lines; also where a sentence follows an identifier or bracket without any mark.
-SPLIT = re.compile(rf"(?<=[.!?;:])[\"')\]]*\s+|(?<=[。！？；])|[\r\n]+|(?<=[){MASK}]) (?=[A-Z][a-zäöü]+ )")
+SPLIT = re.compile(rf"(?<=[.!?;:])[\"')\]]*\s+|(?<=[。！？；])|[\r\n]+|(?<=[){MASK}]) (?=[A-Z][a-zäöü]* )|(?<=\)) (?={MASK} )")
 
 
 def fold(text: str) -> str:
