@@ -2,8 +2,9 @@
 
 Equal vectors are searched once: one representative per distinct vector, its copies come back in afterwards. A group of
 representatives that fits a bin is searched in one task. A larger one is cut first: a k-means level fitted on a bounded
-sample of the group gives its cells; vectors go to the cell they are nearest to and, as queries, to a few further cells, cells
-beyond twice the bin size are cut into blocks, each of which is searched by all the cell's queries. Within a bin a two-level
+sample of the group gives its cells; vectors go to the cell they are nearest to and, as queries, to further cells. How many is
+measured for each large group: sampled vectors are compared with the whole group, and the cells that hold their true neighbours
+are counted. Cells beyond twice the bin size are cut into blocks, each searched by all the cell's queries. Within a bin a two-level
 tree is searched best bin first: a priority queue per query holds the open branches and leaves by distance, kept for all
 queries at once as one matrix. The number of leaves to visit is widened until, on sampled queries, the wanted share of the
 true neighbours is found. With ``min_cosine`` leaves that cannot hold one as similar are skipped, which loses nothing.
@@ -29,8 +30,10 @@ GROUP = ["project_id", "embedding_model"]
 class Settings:
     """``bin_rows``: vectors searched in one task. ``leaf_rows``: aimed size of a leaf. ``fit_rows``: sample bound of one
     k-means fit in a bin. ``cell_fit_rows``: sample of a large group for each of its cells, at most ``max_cells``.
-    ``cells_visited``: cells a vector is sent to as a query, its own included. ``recall``: share of true neighbours that
-    sampled queries (``probes``) must find before widening stops."""
+    ``cells_visited``: cells a vector is sent to as a query at least, its own included. ``recall``: share of true neighbours that
+    sampled queries (``probes``) must find before widening stops; in a group cut into cells, choosing cells and searching
+    them may each lose half of the rest. ``cell_probes``: sampled queries of a large group; ``cell_truths``: true neighbours
+    its cells are chosen by at least, if fewer reach ``min_cosine`` the most similar of the others too."""
 
     k: int = 5
     dim: int = 64
@@ -43,6 +46,8 @@ class Settings:
     cells_visited: int = 4
     recall: float = 0.99
     probes: int = 384
+    cell_probes: int = 1_024
+    cell_truths: int = 200
     salts: int = 64
 
 
@@ -202,24 +207,30 @@ def best_of(query: np.ndarray, row: np.ndarray, exact: np.ndarray, settings: Set
     return query[keep], row[keep], exact[keep]
 
 
-def calibrated(tree: Tree, rows: np.ndarray, settings: Settings) -> int:
-    """Leaves to visit: doubled until sampled rows find the wanted share of their true neighbours, then once more."""
-    n = len(rows)
+def calibrated(tree: Tree, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, settings: Settings, recall: float) -> int:
+    """Leaves to visit: doubled until sampled queries find the wanted share of their true neighbours, then once more."""
+    n = len(queries)
     probes = np.random.default_rng(11).choice(n, min(settings.probes, n), replace=False)
-    similar = rows[probes] @ rows.T
-    similar[np.arange(len(probes)), probes] = -2
+    similar = queries[probes] @ rows.T
+    mine = np.flatnonzero(own[probes] >= 0)
+    similar[mine, own[probes[mine]]] = -2
     top = np.argsort(-similar, axis=1)[:, : settings.k]
     truth = {(i, j) for i, js in enumerate(top) for j in js if similar[i, j] > -2 and (settings.min_cosine is None or similar[i, j] >= settings.min_cosine)}
     most = 2
     while most < len(tree.leaves) and truth:
-        query, row, _ = tree.search(rows[probes], probes, settings, most)
-        query, row, _ = best_of(query, row, np.einsum("ij,ij->i", rows[probes[query]], rows[row]), settings)
-        if len(truth & set(zip(query.tolist(), row.tolist()))) >= settings.recall * len(truth):
+        query, row, _ = tree.search(queries[probes], own[probes], settings, most)
+        query, row, _ = best_of(query, row, np.einsum("ij,ij->i", queries[probes[query]], rows[row]), settings)
+        if len(truth & set(zip(query.tolist(), row.tolist()))) >= recall * len(truth):
             break
         most *= 2
     return min(2 * most, len(tree.leaves))
 
 
+def halved(recall: float) -> float:
+    """The recall of each of two steps that lose half of what may be lost."""
+    return (1 + recall) / 2
+
+
 LINK = "project_id string, embedding_model string, id string, near string, cosine double"
 
 
@@ -236,7 +247,8 @@ def _search_bin(table: pa.Table, settings: Settings) -> pa.Table:
         own = np.full(len(rows), -1)
         own[places] = np.arange(len(places))
         tree = Tree(base, settings)
-        query, row, _ = tree.search(rows, own, settings, calibrated(tree, base, settings))
+        recall = settings.recall if data.all() else halved(settings.recall)  # a bin with queries of other cells is of a large group
+        query, row, _ = tree.search(rows, own, settings, calibrated(tree, base, rows, own, settings, recall))
         query, row, exact = best_of(query, row, np.einsum("ij,ij->i", rows[query], base[row]), settings)
     project, model = table["project_id"][0].as_py(), table["embedding_model"][0].as_py()
     return pa.table({
@@ -245,6 +257,51 @@ def _search_bin(table: pa.Table, settings: Settings) -> pa.Table:
     })
 
 
+def _cells_needed(sharded: DataFrame, spread: DataFrame, settings: Settings) -> DataFrame:
+    """(project_id, embedding_model, width): the cells a query of a large group must go to.
+
+    The probes of a group are compared with all of it, shard by shard. A true neighbour is found from the rank on that its
+    cell has among the cells of the probe; ``width`` is the least with which the wanted share of them is found.
+    """
+
+    def exact(rows: pa.Table, tree: pa.Table) -> pa.Table:
+        ids, probe_ids = np.array(rows["id"].to_pylist(), dtype=object), np.array(tree["probe_ids"][0].as_py(), dtype=object)
+        centres = np.array(tree["centres"][0].as_py(), dtype=np.float32).reshape(-1, settings.dim)
+        probes = np.array(tree["probes"][0].as_py(), dtype=np.float64).reshape(-1, settings.dim)
+        base = matrix(rows["embedding"], settings.dim)
+        home = (base.astype(np.float32) @ centres.T).argmax(axis=1)
+        place = np.argsort(np.argsort(-(probes.astype(np.float32) @ centres.T), axis=1), axis=1)
+        who, near, cosine = [np.array([], int)], [np.array([], int)], [np.array([])]
+        for a in range(0, len(probes), 128):
+            similar = probes[a : a + 128] @ base.T
+            similar[probe_ids[a : a + 128, None] == ids[None, :]] = -2
+            top = np.argpartition(-similar, min(settings.k, len(base)) - 1, axis=1)[:, : settings.k]
+            at, to = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel()
+            real = similar[at, to] > -2
+            who, near, cosine = who + [at[real] + a], near + [to[real]], cosine + [similar[at, to][real]]
+        who, near, cosine = np.concatenate(who), np.concatenate(near), np.concatenate(cosine)
+        return pa.table({
+            **{c: pa.array([rows[c][0].as_py()] * len(who), pa.string()) for c in GROUP}, "probe": pa.array(list(probe_ids[who]), pa.string()),
+            "cosine": pa.array(cosine, pa.float64()), "needed": pa.array((place[who, home[near]] + 1).astype(np.int32)),
+        })
+
+    def least(truths: pa.Table) -> pa.Table:
+        cosine, needed = truths["cosine"].to_numpy(), truths["needed"].to_numpy()
+        needed = needed[np.argsort(-cosine, kind="stable")]
+        if settings.min_cosine is not None:
+            needed = needed[: max(int((cosine >= settings.min_cosine).sum()), settings.cell_truths)]
+        width = np.sort(needed)[int(np.ceil(halved(settings.recall) * len(needed))) - 1]
+        return pa.table({**{c: truths[c].slice(0, 1) for c in GROUP}, "width": pa.array([int(width)], pa.int32())})
+
+    found = (
+        sharded.groupBy(*GROUP, "shard").cogroup(spread.groupBy(*GROUP, "shard"))
+        .applyInArrow(exact, "project_id string, embedding_model string, probe string, cosine double, needed int")
+    )
+    best = Window.partitionBy(*GROUP, "probe").orderBy(F.desc("cosine"), "needed")
+    truths = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= settings.k).select(*GROUP, "cosine", "needed")
+    return cut(truths.groupBy(*GROUP).applyInArrow(least, "project_id string, embedding_model string, width int"))
+
+
 def _binned(distinct: DataFrame, settings: Settings) -> DataFrame:
     """The representatives with the bins (cell, block) they are searched in and ask in."""
     sizes = distinct.groupBy(*GROUP).agg(F.count("*").alias("n"))
@@ -253,22 +310,31 @@ def _binned(distinct: DataFrame, settings: Settings) -> DataFrame:
     if sizes.where(F.col("n") > settings.bin_rows).isEmpty():
         return whole
     large = sized.where(F.col("n") > settings.bin_rows).withColumn("cells", F.least(F.ceil(2 * F.col("n") / settings.bin_rows), F.lit(settings.max_cells)).cast("int"))
-    draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < 1_000_000.0 * settings.cell_fit_rows * F.col("cells") / F.col("n")
+    drawn = lambda label, wanted: F.pmod(F.xxhash64("id", F.lit(label)), F.lit(1_000_000)) < 1_000_000.0 * wanted / F.col("n")
+    picked = large.withColumn("fits", drawn("fit", settings.cell_fit_rows * F.col("cells"))).withColumn("probes", drawn("probe", F.lit(settings.cell_probes)))
 
     def fit(table: pa.Table) -> pa.Table:
-        centres = spherical_kmeans(matrix(table["embedding"], settings.dim), table["cells"][0].as_py())
-        return pa.table({**{c: table[c].slice(0, 1) for c in GROUP}, "centres": pa.array([centres.ravel().tolist()], pa.list_(pa.float32()))})
+        rows, fits, probes = matrix(table["embedding"], settings.dim), np.array(table["fits"].to_pylist(), dtype=bool), np.array(table["probes"].to_pylist(), dtype=bool)
+        centres = spherical_kmeans(rows[fits] if fits.any() else rows, table["cells"][0].as_py())
+        return pa.table({
+            **{c: table[c].slice(0, 1) for c in GROUP}, "centres": pa.array([centres.ravel().tolist()], pa.list_(pa.float32())),
+            "probe_ids": pa.array([np.array(table["id"].to_pylist(), dtype=object)[probes].tolist()], pa.list_(pa.string())), "probes": pa.array([rows[probes].ravel().tolist()], pa.list_(pa.float64())),
+        })
 
-    trees = cut(large.where(draw).select(*GROUP, "embedding", "cells").groupBy(*GROUP).applyInArrow(fit, "project_id string, embedding_model string, centres array<float>"))
+    trees = cut(
+        picked.where("fits or probes").select(*GROUP, "id", "embedding", "cells", "fits", "probes").groupBy(*GROUP)
+        .applyInArrow(fit, "project_id string, embedding_model string, centres array<float>, probe_ids array<string>, probes array<double>")
+    )
     shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.greatest(F.ceil(F.col("n") / (4 * settings.bin_rows)), F.lit(1)))
     sharded = large.select(*GROUP, "id", "embedding", shard.alias("shard"))
     shards = large.select(*GROUP, shard.alias("shard")).distinct()
-    spread = trees.join(shards, GROUP)
+    widths = _cells_needed(sharded, trees.join(shards, GROUP), settings)
+    spread = trees.select(*GROUP, "centres").join(widths, GROUP, "left").join(shards, GROUP)
 
     def route(rows: pa.Table, tree: pa.Table) -> pa.Table:
         centres = np.array(tree["centres"][0].as_py(), dtype=np.float32).reshape(-1, settings.dim)
         near = matrix(rows["embedding"], settings.dim).astype(np.float32) @ centres.T
-        width = min(settings.cells_visited, near.shape[1])
+        width = min(max(settings.cells_visited, tree["width"][0].as_py() or 0), near.shape[1])
         best = np.argsort(-near, axis=1)[:, :width]
         take = pa.array(np.repeat(np.arange(len(best)), width))
         return pa.table({

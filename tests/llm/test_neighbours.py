@@ -66,3 +66,14 @@ def test_a_cell_beyond_its_size_is_cut_into_blocks(spark):
     got = {(r.id, r.near) for r in nb.nearest(table(spark, rows), settings).collect()}
     truth = set(brute(vectors, 3))
     assert len(got & truth) / len(truth) >= 0.95
+
+
+def test_cells_are_visited_until_the_recall_is_met(spark):
+    rng = np.random.default_rng(9)
+    vectors = {f"v{i:04}": rng.normal(size=12).astype(np.float32).tolist() for i in range(1_200)}
+    rows = [(i, "p", "m", "active", v) for i, v in vectors.items()]
+    truth = set(brute(vectors, 5))
+    for cells in (12, 40):
+        settings = nb.Settings(k=5, dim=12, bin_rows=2 * len(rows) // cells, leaf_rows=20, recall=0.93)
+        got = {(r.id, r.near) for r in nb.nearest(table(spark, rows), settings).collect()}
+        assert len(got & truth) / len(truth) >= 0.93 and len(got) == len(truth)
