@@ -1,4 +1,4 @@
-"""Execution traces: what a question names, what it calls over two hops, what tables that touches, and what bodies say.
+"""Execution traces: what a question names, what it calls over two hops, which SQL and tables that touches, and what bodies say.
 
 Everything joins on ids; bodies are split into lines in the JVM. Frames as in ``graph``; bodies are chunks with ``symbol_id``.
 """
@@ -30,23 +30,62 @@ def entry_points(symbols: DataFrame, terms: list[str]) -> DataFrame:
     return found.join(best, F.col("tier") == F.col("best"), "left_semi")
 
 
-def execution_trace(symbols: DataFrame, edges: DataFrame, terms: list[str], hops: int = 2) -> DataFrame:
+def execution_trace(symbols: DataFrame, edges: DataFrame, terms: list[str], hops: int = 2, bodies: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """(evidence_type, symbol_id, hop): the methods a question names, those called from them in up to ``hops`` steps, each at
-    its first, and the targets of read, write and publish edges of all of them."""
+    its first, the SQL statements these and their callees map to, and the targets of read, write and publish edges of all.
+
+    Statements come from ``maps_to_sql`` edges and from calls on mappers, told from ``bodies`` and unresolved ``refs``. Where
+    symbols and edges have paths, publish edges of a service count for the method whose lines they are in.
+    """
     calls = edges.where("kind = 'calls'").select("source_id", "target_id").dropna().distinct()
     reached = entry_points(symbols, terms).select("id", F.lit(0).alias("hop"))
     frontier = reached.select("id")
+    step = lambda from_: calls.join(from_.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
     for hop in range(1, hops + 1):
-        step = calls.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
-        new = step.join(reached, "id", "left_anti")
+        new = step(frontier).join(reached, "id", "left_anti")
         reached, frontier = reached.unionByName(new.withColumn("hop", F.lit(hop))), new
-    methods = reached.join(symbols.select("id"), "id", "left_semi")
-    touched = edges.where(F.col("kind").isin("reads_table", "writes_table", "publishes", "references", "instantiates")).select(F.col("source_id").alias("id"), "kind", "target_id").join(reached, "id")
+    last = step(frontier).join(reached, "id", "left_anti").withColumn("hop", F.lit(hops + 1))
+    maps = edges.where("kind = 'maps_to_sql'").select(F.col("source_id").alias("id"), "target_id")
+    statements = maps.join(reached.unionByName(last), "id").select(F.col("target_id").alias("id"), "hop")
+    for called in [f(x) for f, x in ((body_calls, bodies), (ref_calls, refs)) if x is not None]:
+        statements = statements.unionByName(mapper_statements(symbols, called.join(reached, "id")))
+    statements = statements.groupBy("id").agg(F.min("hop").alias("hop")).join(reached, "id", "left_anti")
+    every = reached.unionByName(statements)
+    methods = every.join(symbols.select("id"), "id", "left_semi")
+    touching = edges.where(F.col("kind").isin("reads_table", "writes_table", "publishes", "references", "instantiates"))
+    touched = touching.select(F.col("source_id").alias("id"), "kind", "target_id").join(every, "id").select("kind", "target_id", "hop")
+    if {"path", "line"} <= set(edges.columns) and {"path", "start_line", "end_line"} <= set(symbols.columns):
+        held = symbols.select("id", "path", "start_line", "end_line").join(reached, "id").drop("id")
+        sent = edges.where("kind = 'publishes'").select("path", "line", "kind", "target_id")
+        touched = touched.unionByName(sent.join(held, "path").where("line between start_line and end_line").select("kind", "target_id", "hop"))
     return methods.select(F.lit("execution_method").alias("evidence_type"), F.col("id").alias("symbol_id"), "hop").unionByName(
         touched.groupBy(F.concat(F.lit("execution_"), "kind").alias("evidence_type"), F.col("target_id").alias("symbol_id")).agg(F.min("hop").alias("hop"))
     )
 
 
+def body_calls(bodies: DataFrame) -> DataFrame:
+    """(id, receiver, method): what the body of each symbol calls on something, without everyday calls."""
+    pair = F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(CALL), F.lit(1)).alias("receiver"), F.regexp_extract_all("content", F.lit(CALL), F.lit(2)).alias("method")))
+    return bodies.where("symbol_id is not null").select(F.col("symbol_id").alias("id"), pair.alias("c")).select("id", "c.receiver", "c.method").where(~F.col("method").isin(*GENERIC_CALLS)).distinct()
+
+
+def ref_calls(refs: DataFrame) -> DataFrame:
+    """The same from call references that are not resolved."""
+    parts = F.split("reference_name", r"\.")
+    dotted = refs.where("reference_kind = 'calls' and contains(reference_name, '.')")
+    return dotted.select(F.col("source_id").alias("id"), F.element_at(parts, -2).alias("receiver"), F.element_at(parts, -1).alias("method")).where(~F.col("method").isin(*GENERIC_CALLS)).distinct()
+
+
+def mapper_statements(symbols: DataFrame, called: DataFrame) -> DataFrame:
+    """(id, hop) of the SQL statements that calls (receiver, method, hop) mean: of a receiver ending in "mapper" those whose
+    qualified name ends with ``mapper#method``; if no receiver does, those of the method's name. One step after the caller."""
+    mapper = F.lower("receiver").endswith("mapper")
+    any_mapper = called.agg(F.coalesce(F.max(mapper), F.lit(False)).alias("any_mapper"))
+    statements = symbols.where("kind = 'sql_statement'").select(F.col("id").alias("statement"), F.col("name").alias("method"), F.lower("qualified_name").alias("q"))
+    meant = F.when(mapper, F.col("q").endswith(F.concat(F.lower("receiver"), F.lit("#"), F.lower("method")))).otherwise(~F.col("any_mapper"))
+    return called.join(statements, "method").crossJoin(any_mapper).where(meant).select(F.col("statement").alias("id"), (F.col("hop") + 1).alias("hop"))
+
+
 def body_details(bodies: DataFrame, most: int = 220) -> DataFrame:
     """(symbol_id, line, detail) of the first telling lines of each body: control before message before call."""
     lines = bodies.where("symbol_id is not null").select("symbol_id", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("line", "t"))

@@ -19,7 +19,7 @@ def entry_points(spark, d):
 
 
 def execution_trace(spark, d):
-    out = trace.execution_trace(graph.latest(read_table(spark, d, "symbols")), read_table(spark, d, "edges"), TERMS)
+    out = trace.execution_trace(graph.latest(read_table(spark, d, "symbols")), read_table(spark, d, "edges"), TERMS, bodies=_chunks(spark, d))
     return out.withColumn("hop", F.col("hop").cast("long"))
 
 
