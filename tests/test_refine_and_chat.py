@@ -35,6 +35,30 @@ def test_full_and_refreshed_builds_agree(spark, tmp_path):
     assert content(refine.refresh(spark, str(tmp_path), "project:1", first)) == content(refine.refine(spark, str(tmp_path), "project:1"))
 
 
+def test_builds_normalise_describe_and_embed(spark, tmp_path):
+    put(tmp_path, "m/pom.xml", "<p/>")
+    for name, text in (("OrderService", A), ("OrderDao", DAO), ("OrderEntity", ENTITY)):
+        put(tmp_path, f"m/src/main/java/a/{name}.java", text)
+    first = refine.refine(spark, str(tmp_path), "project:1", dim=16)
+    names = {r.id: r.qualified_name for r in first["symbols"].collect()}
+    moved = [(r.kind, names[r.target_id], r.metadata) for r in first["edges"].collect() if r.kind in ("reads_table", "writes_table")]
+    assert {m[:2] for m in moved} == {("reads_table", "db_table:oms_order"), ("writes_table", "db_table:oms_order")} and all('"confidence":0.86' in m[2] and "db_table:order" in m[2] for m in moved)
+    chunks = first["chunks"].collect()
+    kinds = {r.chunk_type for r in chunks}
+    assert {"artifact_class", "artifact_db_table", "artifact_mapper", "artifact_method_summary", "artifact_field_summary"} <= kinds and len({r.id for r in chunks}) == len(chunks)
+    assert sorted(r.chunk_id for r in first["embeddings"].collect()) == sorted(r.id for r in chunks)
+    put(tmp_path, "m/src/main/java/a/OrderService.java", A.replace("save", "store"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        asked.add(len(texts))
+        return [[1.0] * 16 for _ in texts]
+
+    again = refine.refresh(spark, str(tmp_path), "project:1", first, dim=16, provider=provider)
+    ids, old = {r.id for r in again["chunks"].collect()}, {r.id for r in chunks}
+    assert {r.chunk_id for r in again["embeddings"].collect()} == ids and asked.value == len(ids - old) and 0 < len(ids - old) < len(ids)
+
+
 def test_embeddings(spark):
     chunks = spark.createDataFrame([("1", "h", "order 订单"), ("2", "h", "")], "id string, content_hash string, content string")
     got = {r.id: r.embedding for r in refine.embedded(chunks, 16).collect()}
