@@ -13,9 +13,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from codeloom.session import spread
+from codeloom.operators import store
+from codeloom.session import cut, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
@@ -359,9 +360,11 @@ def entities(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, start_pos long, end_pos long, pii_type string, value string")
 
 
+#: Attempts at a surrogate of one length.
+ATTEMPTS = 16
 _SYLLABLES = {
     "latin": [a + b for a in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "br", "tr") for b in ("a", "e", "i", "o", "u", "en", "or", "el")],
-    "han": [chr(0x4E00 + i) for i in range(0x80, 0x480, 8)],
+    "han": [chr(0x4E00 + i) for i in range(0, 20_480, 5)],
 }
 
 
@@ -382,9 +385,12 @@ def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
     """A replacement of the same type, script and format, chosen by a keyed hash of the canonical value.
 
     Digits stay digits and letters letters in numbers and house numbers, each part of a name gets the same replacement
-    wherever it occurs, in the case of the original; e-mail addresses go to a reserved domain. ``attempt`` makes another one.
+    wherever it occurs, in the case of the original; e-mail addresses go to a reserved domain. ``attempt`` makes another one,
+    longer by a syllable, character or digit after every ``ATTEMPTS``, so that no form runs out of surrogates.
     """
 
+    longer = attempt // ATTEMPTS
+
     def stream(text: str) -> Iterator[int]:
         n = 0
         while True:
@@ -395,38 +401,45 @@ def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
         script = "han" if re.search(r"[㐀-鿿]", part) else "latin"
         source = stream(part.lower())
         if script == "han":
-            return "".join(_SYLLABLES["han"][next(source) % 128] for _ in part)
-        word = "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(length))
+            return "".join(_SYLLABLES["han"][(next(source) * 256 + next(source)) % len(_SYLLABLES["han"])] for _ in range(len(part) + longer))
+        word = "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(length + longer))
         return word.upper() if part.isupper() and len(part) > 1 else word.capitalize() if part[:1].isupper() else word
 
     text = fold(value)
     if kind == "email":
         source = stream(canonical(value, kind))
-        return "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(4)) + "@mail.example"
+        return "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(4 + longer)) + "@mail.example"
     if kind in ("phone", "id_number"):
         source = stream(canonical(value, kind))
-        return "".join(str(next(source) % 10) if c.isdigit() else chr(65 + next(source) % 26) if c.isupper() and kind == "id_number" else c for c in text)
+        return "".join(str(next(source) % 10) if c.isdigit() else chr(65 + next(source) % 26) if c.isupper() and kind == "id_number" else c for c in text + "0" * longer)
     if kind == "name":
-        return re.sub(r"[A-Za-zÄÖÜäöüßéè'\-]+|[㐀-鿿]+", lambda m: m[0] if len(m[0]) == 1 and m[0].isupper() else letters(m[0]), text)
+        made = re.sub(r"[A-Za-zÄÖÜäöüßéè'\-]+|[㐀-鿿]+", lambda m: m[0] if len(m[0]) == 1 and m[0].isupper() else letters(m[0]), text)
+        return f"{made} {letters(canonical(value, kind)).capitalize()}" if longer else made  # for names all of initials too
     source = stream(canonical(value, kind))
-    spaced = re.sub(r"\d", lambda m: str(next(source) % 10), text)
+    spaced = re.sub(r"\d", lambda m: str(next(source) % 10), text + (" " + "0" * longer if longer else ""))
     return re.sub(r"[㐀-鿿]{2}(?=[市区路街])|\b[A-ZÄÖÜ][a-zäöüß]{3,}\b", lambda m: letters(m[0]), spaced)
 
 
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(pii_type, entity, surrogate, occurrences): one row per distinct entity, surrogates distinct within a type.
 
-    Entities are canonical values, so spellings of one phone number or address share their surrogate. Entities whose
-    surrogates collide get further attempts by their rank, spread over the cluster by type and surrogate.
+    Entities are canonical values, so spellings of one phone number or address share their surrogate. In every round each
+    open entity makes its next attempt; it is settled unless the surrogate is taken already or a lesser entity has the same
+    one in this round. Rounds go on until none is open; longer attempts make each round settle more.
     """
     own = F.udf(lambda v, k: canonical(v, k))
     make = F.udf(lambda v, k, n: surrogate(v, k, key, n))
-    known = found.select("pii_type", own("value", "pii_type").alias("entity"), "value").groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.min("value").alias("sample"))
-    first = known.withColumn("try", make("sample", "pii_type", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("pii_type", "try").orderBy("entity")) - 1
-    return first.withColumn("n", rank).select(
-        "pii_type", "entity", F.when(F.col("n") == 0, F.col("try")).otherwise(make("sample", "pii_type", F.col("n"))).alias("surrogate"), "occurrences"
-    )
+    taken = ["pii_type", "surrogate"]
+    left = cut(found.select("pii_type", own("value", "pii_type").alias("entity"), "value").groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.min("value").alias("sample")))
+    settled, attempt = None, 0
+    while settled is None or not left.isEmpty():
+        tried = cut(left.withColumn("surrogate", make("sample", "pii_type", F.lit(attempt))))
+        free = tried if settled is None else tried.join(settled.select(*taken), taken, "left_anti")
+        won = store.first_wins(free, taken, ["entity"]).select("pii_type", "entity", "surrogate", "occurrences")
+        settled = cut(won if settled is None else settled.unionByName(won))
+        left = cut(left.join(settled.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti"))
+        attempt += 1
+    return settled
 
 
 def redacted(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:

@@ -110,3 +110,9 @@ def test_surrogates_keep_type_script_and_format():
         assert [c.isdigit() for c in out] == [c.isdigit() for c in value] or kind == "name"
         assert out == pii.surrogate(value, kind, b"key") != pii.surrogate(value, kind, b"other") and out.isupper() == value.isupper()
     assert pii.surrogate("Maren Holtby", "name", b"k").split()[1] == pii.surrogate("Tibo Holtby", "name", b"k").split()[1]
+
+
+def test_surrogates_stay_distinct_where_many_collide(spark):
+    rows = [(str(i), "id_number") for i in range(10, 100)] + [(chr(0x4E00 + i), "name") for i in range(200)]
+    got = pii.surrogates(spark.createDataFrame(rows, "value string, pii_type string"), b"k").collect()
+    assert len(got) == len(rows) == len({(r.pii_type, r.surrogate) for r in got}) and all(r.occurrences == 1 for r in got)
