@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeloom.session import cut
+
 CONTROL = r"\b(?:if|else|for|while|switch|catch|return|continue|break|throw)\b"
 MESSAGE = r"\b[A-Za-z_]\w*\.(?:send|syncSend|asyncSend|sendOneWay|convertAndSend|sendMessageInTransaction)\s*\("
 CALL = r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*\("
@@ -38,18 +40,18 @@ def execution_trace(symbols: DataFrame, edges: DataFrame, terms: list[str], hops
     symbols and edges have paths, publish edges of a service count for the method whose lines they are in.
     """
     calls = edges.where("kind = 'calls'").select("source_id", "target_id").dropna().distinct()
-    reached = entry_points(symbols, terms).select("id", F.lit(0).alias("hop"))
+    reached = cut(entry_points(symbols, terms).select("id", F.lit(0).alias("hop")))
     frontier = reached.select("id")
     step = lambda from_: calls.join(from_.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
     for hop in range(1, hops + 1):
-        new = step(frontier).join(reached, "id", "left_anti")
+        new = cut(step(frontier).join(reached, "id", "left_anti"))
         reached, frontier = reached.unionByName(new.withColumn("hop", F.lit(hop))), new
     last = step(frontier).join(reached, "id", "left_anti").withColumn("hop", F.lit(hops + 1))
     maps = edges.where("kind = 'maps_to_sql'").select(F.col("source_id").alias("id"), "target_id")
     statements = maps.join(reached.unionByName(last), "id").select(F.col("target_id").alias("id"), "hop")
     for called in [f(x) for f, x in ((body_calls, bodies), (ref_calls, refs)) if x is not None]:
-        statements = statements.unionByName(mapper_statements(symbols, called.join(reached, "id")))
-    statements = statements.groupBy("id").agg(F.min("hop").alias("hop")).join(reached, "id", "left_anti")
+        statements = statements.unionByName(mapper_statements(symbols, cut(called.join(reached, "id"))))
+    statements = cut(statements.groupBy("id").agg(F.min("hop").alias("hop")).join(reached, "id", "left_anti"))
     every = reached.unionByName(statements)
     methods = every.join(symbols.select("id"), "id", "left_semi")
     touching = edges.where(F.col("kind").isin("reads_table", "writes_table", "publishes", "references", "instantiates"))
