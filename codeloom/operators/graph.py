@@ -10,13 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeloom.operators import store
 from codeloom.session import cut
 
 
 def latest(rows: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
-    """One row per key, the one with the greatest ``order`` (nulls first); all columns kept."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order)).alias("r")).select(key, "r.*")
+    """One row per key, the one with the greatest ``order`` (nulls first); all columns kept, unread ones pruned at the scan."""
+    return store.last_wins(rows.where(F.col(key).isNotNull()), [key], [order])
 
 
 def contains_any(columns: list[str], terms: list[str]) -> Column:

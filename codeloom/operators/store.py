@@ -16,16 +16,23 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return condition
 
 
+def _pick(rows: DataFrame, keys: list[str], order: list[str], by) -> DataFrame:
+    at = F.struct(*order)
+    return rows.groupBy(*keys).agg(*[by(F.col(c), at).alias(c) for c in rows.columns if c not in keys])
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the greatest by ``order``; partial aggregation, so a frequent key is combined before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    """One row per key, the greatest by ``order``; partial aggregation, so a frequent key is combined before the shuffle.
+
+    Each column is an aggregate of its own, so those that nobody reads are pruned down to the scan. All of them meet the same
+    rows in the same sequence and compare the same order, so that on ties they still come from one row.
+    """
+    return _pick(rows, keys, order, F.max_by)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the least by ``order``."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    """One row per key, the least by ``order``, as ``last_wins``."""
+    return _pick(rows, keys, order, F.min_by)
 
 
 def merge(stored: DataFrame, incoming: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
