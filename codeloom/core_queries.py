@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.operators import hierarchy
 from codeloom.operators.changefeed import ChangeFeed, pending
-from codeloom.session import cut, read_table, scratch_path
+from codeloom.session import cut, read_table, remove_path, scratch_path
 
 #: In a contains row the source is the parent, in an extends row the target.
 CHILD_IS_TARGET = {"contains": True, "extends": False}
@@ -56,7 +56,31 @@ def p5_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan_feed(spark, sf_dir, True).select("project_id", "path", "reason")
 
 
-QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_replayed": p5_replayed}
+def _in_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans with the batch, 0 to 2, in which they arrive: late ones and ones at equal times among them."""
+    return read_table(spark, sf_dir, "file_scans").withColumn("arrival", F.coalesce(F.second("scanned_at") % 3, F.lit(0)))
+
+
+def p5_three_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, project_id, path, reason) as three runs deliver the scans in three parts, the second dying before its commit at first."""
+    root = scratch_path(spark, "three-runs")
+    files, runs, scans = read_table(spark, sf_dir, "files"), read_table(spark, sf_dir, "index_runs"), _in_three(spark, sf_dir)
+    feed = ChangeFeed(spark, f"{root}/log", f"{root}/state")
+    process = lambda rows: pending(rows, files, runs)
+    for batch in range(3):
+        scans.where(F.col("arrival") == batch).drop("arrival").write.mode("append").parquet(f"{root}/log")
+        if batch == 1:
+            try:
+                feed.run(process, fail_before="commit")
+            except RuntimeError:
+                pass
+        feed.run(process)
+    out = cut(feed.committed().select(F.col("batch").cast("long").alias("batch"), "project_id", "path", "reason"))
+    remove_path(spark, root)
+    return out
+
+
+QUERIES = {"p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_replayed": p5_replayed, "p5_three_runs": p5_three_runs}
 
 _LINKS = """
 links as (
@@ -75,27 +99,49 @@ standing as (
   where not exists (select 1 from looped x where x.kind = r.kind and x.node_id = r.down))
 """
 
-_PENDING = """
-scan as (
-  select project_id, path, lower(content_hash) as h from file_scans where project_id is not null and path is not null
+def _pending_sql(scans: str, name: str = "judged") -> str:
+    """A CTE ``name`` (project_id, path, scanned_at, h, reason) over the latest scans of each path in ``scans``."""
+    return f"""
+scan_{name} as (
+  select project_id, path, scanned_at, lower(content_hash) as h from {scans} where project_id is not null and path is not null
   qualify row_number() over (partition by project_id, path order by scanned_at desc nulls last, lower(content_hash) desc nulls last) = 1),
+{name} as (
+  select s.project_id, s.path, s.scanned_at, s.h,
+    case when k.path is null then 'new'
+         when s.h is distinct from k.h then 'changed'
+         when k.error is not null then 'error'
+         when w.path is not null and coalesce(u.status, '') not in ('completed', 'completed_with_errors') then 'unfinished_run' end as reason
+  from scan_{name} s left join kept k using (project_id, path) left join wrote w using (project_id, path)
+  left join (select project_id, started_at, arg_max(status, id) as status from index_runs group by all) u
+    on u.project_id = w.project_id and u.started_at = w.started_at)"""
+
+
+_STORED = """
 kept as (
   select project_id, path, lower(content_hash) as h, error, indexed_at from files where project_id is not null and path is not null
   qualify row_number() over (partition by project_id, path
     order by indexed_at desc nulls last, lower(content_hash) desc nulls last, error desc nulls last) = 1),
 wrote as (
   select k.project_id, k.path, max(r.started_at) as started_at
-  from kept k join index_runs r on r.project_id = k.project_id and r.started_at <= k.indexed_at group by all),
-judged as (
-  select s.project_id, s.path,
-    case when k.path is null then 'new'
-         when s.h is distinct from k.h then 'changed'
-         when k.error is not null then 'error'
-         when w.path is not null and coalesce(u.status, '') not in ('completed', 'completed_with_errors') then 'unfinished_run' end as reason
-  from scan s left join kept k using (project_id, path) left join wrote w using (project_id, path)
-  left join (select project_id, started_at, arg_max(status, id) as status from index_runs group by all) u
-    on u.project_id = w.project_id and u.started_at = w.started_at)
-"""
+  from kept k join index_runs r on r.project_id = k.project_id and r.started_at <= k.indexed_at group by all)"""
+_PENDING = f"{_STORED}, {_pending_sql('file_scans')}"
+
+
+def _unseen_sql(batch: int) -> str:
+    """What the sink takes of a batch: nothing older than, or equal to, what the earlier ones delivered."""
+    earlier = " union all ".join(f"select {b} as b, * from d{b}" for b in range(batch)) or "select 0 as b, * from j0 where false"
+    return f"""
+d{batch} as (
+  select j.* from j{batch} j left join (
+    select project_id, path, max(scanned_at) as seen_at, arg_max(h, (scanned_at, b)) as seen_h from ({earlier}) group by all) e using (project_id, path)
+  where j.reason is not null and not coalesce(j.scanned_at < e.seen_at or (j.scanned_at = e.seen_at and j.h is not distinct from e.seen_h), false))"""
+
+
+_THREE = ", ".join(
+    [_STORED]
+    + [f"f{b} as (select * from file_scans where coalesce(cast(extract(second from scanned_at) as int) % 3, 0) = {b}), {_pending_sql(f'f{b}', f'j{b}')}" for b in range(3)]
+    + [_unseen_sql(b) for b in range(3)]
+)
 
 ORACLE = {
     "p4_found": f"with recursive {_LINKS} select kind, node_id, standing from standing",
@@ -121,5 +167,6 @@ ORACLE = {
         case when s.standing is null then coalesce(b.n, 0) end as descendants, coalesce(s.standing, 'tree') as standing
       from nodes n left join tree t using (kind, node_id) left join below b using (kind, node_id) left join standing s using (kind, node_id)""",
     "p5_found": f"with {_PENDING} select project_id, path from judged where reason is not null",
+    "p5_three_runs": f"with {_THREE} " + " union all ".join(f"select cast({b} as bigint) as batch, project_id, path, reason from d{b}" for b in range(3)),
     "p5_replayed": f"with {_PENDING} select project_id, path, reason from judged where reason is not null",
 }

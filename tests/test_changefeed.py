@@ -31,7 +31,7 @@ def scan_rows(extra=()):
 
 def runner(spark, state, root):
     files, runs = state
-    return ChangeFeed(spark, root + "/log", root + "/state"), lambda rows: pending(rows, files, runs)
+    return ChangeFeed(spark, root + "/log", root + "/state", buckets=4), lambda rows: pending(rows, files, runs)
 
 
 def got(feed):
@@ -49,7 +49,7 @@ def test_reasons_nulls_case_and_latest_rows(spark, state):
     assert got(feed) == EXPECTED
 
 
-@pytest.mark.parametrize("point", ["sink", "commit"])
+@pytest.mark.parametrize("point", ["sink", "state", "commit"])
 def test_a_failed_run_is_replayed_with_the_same_rows(spark, state, point):
     root = scratch_path(spark, "feed")
     spark.createDataFrame(scan_rows(), SCANS).write.parquet(root + "/log")
@@ -76,6 +76,40 @@ def test_an_older_record_of_a_delivered_path_is_not_delivered_again(spark, state
     assert feed.run(process) == 2 and feed.committed().count() == len(EXPECTED) + 1
 
 
+def batches_of(spark, state, *batches):
+    """What each of several runs delivered, each run after its rows were appended."""
+    root, out = scratch_path(spark, "feed"), []
+    feed, process = runner(spark, state, root)
+    for rows in batches:
+        spark.createDataFrame(rows, SCANS).coalesce(1).write.mode("append").parquet(root + "/log")
+        n = feed.run(process)
+        out.append({(r.path, r.content_hash) for r in spark.read.parquet(f"{root}/state/sink/batch={n}").collect()})
+    return out
+
+
+def test_equal_and_null_times_are_neither_skipped_nor_repeated(spark, state):
+    first = [("p", "a", "h1", at(20)), ("p", "b", "h1", None)]
+    again = [("p", "a", "H1", at(20)), ("p", "b", "h1", None)]
+    other = [("p", "a", "h0", at(20)), ("p", "b", "h2", None)]
+    late = [("p", "a", "h3", None), ("p", "a", "h9", at(19)), ("p", "b", "h1", at(5))]
+    assert batches_of(spark, state, first, again, other, late, [("p", "a", "h3", None)]) == [
+        {("a", "h1"), ("b", "h1")}, set(), {("a", "h0"), ("b", "h2")}, {("b", "h1")}, {("a", "h3")},
+    ]
+
+
+def test_a_run_opens_only_its_own_files(spark, state, tmp_path):
+    root = str(tmp_path)
+    feed, process = runner(spark, state, "file://" + root)
+    for day in (20, 21, 22):
+        before = set((tmp_path / "log").glob("*.parquet"))
+        spark.createDataFrame([("p", f"new{day}", "x", at(day))], SCANS).coalesce(1).write.mode("append").parquet(f"file://{root}/log")
+        feed.run(process)
+        (fresh,) = set((tmp_path / "log").glob("*.parquet")) - before
+        fresh.write_bytes(b"gone")  # whoever opens it again fails
+        fresh.with_name(f".{fresh.name}.crc").unlink(missing_ok=True)
+    assert feed.committed().count() == 3
+
+
 def test_a_log_with_clashing_columns(spark, state):
     root = scratch_path(spark, "feed")
     rows = spark.createDataFrame(scan_rows(), SCANS)
