@@ -75,3 +75,18 @@ def test_links_of_edges_take_direction_by_kind(spark):
     edges = spark.createDataFrame([("contains", "f", "c"), ("extends", "sub", "base"), ("calls", "x", "y"), ("contains", None, "q")], "kind string, source_id string, target_id string")
     got = {tuple(r) for r in hierarchy.links_of(edges, {"contains": True, "extends": False}).collect()}
     assert got == {("contains", "f", "c"), ("extends", "base", "sub")}
+
+
+def test_one_long_loop_with_chords_and_a_tail(spark):
+    n = 20_000
+    rows = [("a", f"{i}", f"{(i + 1) % n}") for i in range(n)] + [("a", f"{i}", f"{(i * 7 + 3) % n}") for i in range(0, n, 500)] + [("a", "5", "t0"), ("a", "t0", "t1"), ("a", "top", "0")]
+    got = {r.node_id: r.standing for r in hierarchy.loop_standing(frame(spark, rows)).collect()}
+    assert got == {f"{i}": "on_cycle" for i in range(n)} | {"t0": "below_cycle", "t1": "below_cycle"}
+
+
+def test_loops_in_a_chain_with_bridges_of_several_nodes(spark):
+    rows = []
+    for i in range(6):
+        rows += [("a", f"x{i}", f"y{i}"), ("a", f"y{i}", f"x{i}"), ("a", f"y{i}", f"b{i}"), ("a", f"b{i}", f"c{i}"), ("a", f"c{i}", f"x{i + 1}")]
+    rows += [("a", "x6", "x6")]
+    assert {tuple(r) for r in hierarchy.loop_standing(frame(spark, rows)).collect()} == brute(rows)[0]
