@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.llm.messages import is_blank
+from codeloom.session import cut
 
 KINDS = ("method", "constructor")
 
@@ -85,7 +86,7 @@ def normal_signature(signature: Column) -> Column:
 
 
 def functions_of(symbols: DataFrame) -> DataFrame:
-    """The latest row (by updated_at) of every method and constructor, with its doc state and the key of its overload.
+    """The latest row (by updated_at) of every method and constructor, with the key of its overload and whether its docstring tells something.
 
     Rows without an id are left out; null or blank signatures stay, as ``has_signature`` false.
     """
@@ -96,24 +97,33 @@ def functions_of(symbols: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("project_id", "file_id", "kind", "name", "qualified_name", "signature", "docstring"), F.struct("updated_at", "signature", "docstring")).alias("r"))
     )
     return latest.select(F.col("id").alias("symbol_id"), "r.*").select(
-        "*", (~is_blank(F.col("signature"))).alias("has_signature"), is_informative(F.col("docstring"), F.col("name")).alias("documented"),
+        "*", (~is_blank(F.col("signature"))).alias("has_signature"), is_informative(F.col("docstring"), F.col("name")).alias("told"),
         normal_signature(F.coalesce("signature", F.lit(""))).alias("overload"),
     )
 
 
-def pairs(symbols: DataFrame) -> DataFrame:
-    """(symbol_id, kind, qualified_name, signature, description, described_by) of functions that are documented.
+def joined(symbols: DataFrame) -> DataFrame:
+    """Every function with a signature beside the declaration that documents it: the table that ``pairs`` filters.
 
-    A function without telling documentation takes that of a documented declaration of the same qualified name and
-    parameter types elsewhere in its project, if there is one (that with the least id); ``described_by`` is the symbol that
-    the description was written for. Declarations are reduced to one per key before the join, so no key multiplies rows.
+    (symbol_id, kind, name, qualified_name, signature, docstring, described_by, told). A function's own docstring goes first if
+    it tells something, else that of a declaration of the same qualified name and parameter types elsewhere in its project:
+    of several the first that tells something, by id. Declarations are reduced to one a key before the join, so no key multiplies
+    rows; whether a docstring tells something is found out once, before that.
     """
-    all_ = functions_of(symbols).where("has_signature")
+    all_ = cut(functions_of(symbols).where("has_signature").drop("has_signature"))
     key = ["project_id", "qualified_name", "overload"]
-    told = all_.where("documented")
-    declared = told.dropna(subset=key).groupBy(*key).agg(F.min(F.struct("symbol_id", "docstring")).alias("declared"))
-    own = told.select("symbol_id", "kind", "qualified_name", "signature", cleaned(F.col("docstring")).alias("description"), F.col("symbol_id").alias("described_by"))
-    taken = all_.where("not documented").join(declared, key).select(
-        "symbol_id", "kind", "qualified_name", "signature", cleaned(F.col("declared.docstring")).alias("description"), F.col("declared.symbol_id").alias("described_by")
+    declared = all_.dropna(subset=[*key, "docstring"]).groupBy(*key).agg(F.min_by(F.struct("symbol_id", "docstring", "told"), F.struct(~F.col("told"), "symbol_id")).alias("declared"))
+    both = all_.join(declared, key, "left")
+    own = F.col("told") | F.col("declared").isNull()
+    return both.select(
+        "symbol_id", "kind", "name", "qualified_name", "signature", F.when(own, F.col("docstring")).otherwise(F.col("declared.docstring")).alias("docstring"),
+        F.when(own, F.col("symbol_id")).otherwise(F.col("declared.symbol_id")).alias("described_by"), F.when(own, F.col("told")).otherwise(F.col("declared.told")).alias("told"),
     )
-    return own.unionByName(taken)
+
+
+def pairs(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, kind, qualified_name, signature, description, described_by): the joined table without what is undocumented or trivial.
+
+    ``described_by`` is the symbol that the description was written for, the function itself or a declaration of it.
+    """
+    return joined(symbols).where("told").select("symbol_id", "kind", "qualified_name", "signature", cleaned(F.col("docstring")).alias("description"), "described_by")

@@ -4,7 +4,8 @@ Equal vectors are searched once: one representative per distinct vector, its cop
 representatives that fits a bin is searched in one task. A larger one is cut first: a k-means level fitted on a bounded
 sample of the group gives its cells; vectors go to the cell they are nearest to and, as queries, to further cells. How many is
 measured for each large group: sampled vectors are compared with the whole group, and the cells that hold their true neighbours
-are counted. Cells beyond twice the bin size are cut into blocks, each searched by all the cell's queries. Within a bin a two-level
+are counted. Cells beyond twice the bin size are cut into blocks, each searched by all the cell's queries, in shares
+of bounded size. Within a bin a two-level
 tree is searched best bin first: a priority queue per query holds the open branches and leaves by distance, kept for all
 queries at once as one matrix. The number of leaves to visit is widened until, on sampled queries, the wanted share of the
 true neighbours is found. With ``min_cosine`` leaves that cannot hold one as similar are skipped, which loses nothing.
@@ -33,7 +34,8 @@ class Settings:
     ``cells_visited``: cells a vector is sent to as a query at least, its own included. ``recall``: share of true neighbours that
     sampled queries (``probes``) must find before widening stops; in a group cut into cells, choosing cells and searching
     them may each lose half of the rest. ``cell_probes``: sampled queries of a large group; ``cell_truths``: true neighbours
-    its cells are chosen by at least, if fewer reach ``min_cosine`` the most similar of the others too."""
+    its cells are chosen by at least, if fewer reach ``min_cosine`` the most similar of the others too.
+    ``queries_per_bin``: a cell's queries are split into shares of at most so many times ``bin_rows``, each searched in a task of its own."""
 
     k: int = 5
     dim: int = 64
@@ -48,6 +50,7 @@ class Settings:
     probes: int = 384
     cell_probes: int = 1_024
     cell_truths: int = 200
+    queries_per_bin: int = 4
     salts: int = 64
 
 
@@ -235,20 +238,23 @@ LINK = "project_id string, embedding_model string, id string, near string, cosin
 
 
 def _search_bin(table: pa.Table, settings: Settings) -> pa.Table:
-    """Links of one bin: all its rows are queries, those with ``is_data`` are searched too."""
+    """Links of one bin: rows that ``asks`` are queries, those with ``is_data`` are searched."""
     ids = np.array(table["id"].to_pylist(), dtype=object)
     data = np.array(table["is_data"].to_pylist(), dtype=bool)
     order = np.argsort(ids, kind="stable")
+    asks = np.array(table["asks"].to_pylist(), dtype=bool)[order]
     rows, ids, data = matrix(table["embedding"], settings.dim)[order], ids[order], data[order]
-    places = np.flatnonzero(data)
+    places, askers = np.flatnonzero(data), np.flatnonzero(asks)
     query, row, exact = np.array([], int), np.array([], int), np.array([])
-    if len(places):
+    if len(places) and len(askers):
         base = rows[places]
         own = np.full(len(rows), -1)
         own[places] = np.arange(len(places))
         tree = Tree(base, settings)
-        recall = settings.recall if data.all() else halved(settings.recall)  # a bin with queries of other cells is of a large group
-        query, row, _ = tree.search(rows, own, settings, calibrated(tree, base, rows, own, settings, recall))
+        recall = settings.recall if data.all() and asks.all() else halved(settings.recall)  # other bins are of a large group
+        most = calibrated(tree, base, rows[askers], own[askers], settings, recall)
+        query, row, _ = tree.search(rows[askers], own[askers], settings, most)
+        query = askers[query]
         query, row, exact = best_of(query, row, np.einsum("ij,ij->i", rows[query], base[row]), settings)
     project, model = table["project_id"][0].as_py(), table["embedding_model"][0].as_py()
     return pa.table({
@@ -306,7 +312,7 @@ def _binned(distinct: DataFrame, settings: Settings) -> DataFrame:
     """The representatives with the bins (cell, block) they are searched in and ask in."""
     sizes = distinct.groupBy(*GROUP).agg(F.count("*").alias("n"))
     sized = distinct.join(sizes, GROUP)
-    whole = sized.where(F.col("n") <= settings.bin_rows).select(*GROUP, "id", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(True).alias("is_data"))
+    whole = sized.where(F.col("n") <= settings.bin_rows).select(*GROUP, "id", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(0).alias("asker"), F.lit(True).alias("is_data"), F.lit(True).alias("asks"))
     if sizes.where(F.col("n") > settings.bin_rows).isEmpty():
         return whole
     large = sized.where(F.col("n") > settings.bin_rows).withColumn("cells", F.least(F.ceil(2 * F.col("n") / settings.bin_rows), F.lit(settings.max_cells)).cast("int"))
@@ -346,10 +352,17 @@ def _binned(distinct: DataFrame, settings: Settings) -> DataFrame:
         sharded.groupBy(*GROUP, "shard").cogroup(spread.groupBy(*GROUP, "shard"))
         .applyInArrow(route, "project_id string, embedding_model string, id string, embedding array<float>, cell int, is_data boolean")
     )
-    held = routed.where("is_data").groupBy(*GROUP, "cell").agg(F.ceil(F.count("*") / (2 * settings.bin_rows)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
-    cells = routed.join(held, [*GROUP, "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return whole.unionByName(cells.select(*GROUP, "id", "embedding", "cell", "block", (F.col("is_data") & (F.col("block") == own)).alias("is_data")))
+    held = routed.groupBy(*GROUP, "cell").agg(
+        F.greatest(F.ceil(F.count(F.when(F.col("is_data"), True)) / (2 * settings.bin_rows)), F.lit(1)).cast("int").alias("blocks"),
+        F.ceil(F.count("*") / (settings.queries_per_bin * settings.bin_rows)).cast("int").alias("askers"),
+    )
+    place = lambda label, of: F.pmod(F.xxhash64("id", F.lit(label)), F.col(of)).cast("int")
+    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda a: F.struct(b.alias("block"), a.alias("asker")))))
+    mine = lambda p: (p["asker"] == F.col("own_asker"))
+    stored = lambda p: F.col("is_data") & (p["block"] == F.col("own_block"))
+    cells = routed.join(held, [*GROUP, "cell"]).withColumn("own_block", place("block", "blocks")).withColumn("own_asker", place("asker", "askers"))
+    cells = cells.withColumn("p", F.explode(F.filter(spots, lambda p: mine(p) | stored(p))))
+    return whole.unionByName(cells.select(*GROUP, "id", "embedding", "cell", F.col("p.block").alias("block"), F.col("p.asker").alias("asker"), stored(F.col("p")).alias("is_data"), mine(F.col("p")).alias("asks")))
 
 
 def nearest(embeddings: DataFrame, settings: Settings) -> DataFrame:
@@ -363,7 +376,7 @@ def nearest(embeddings: DataFrame, settings: Settings) -> DataFrame:
     distinct = cut(rows.groupBy(*key).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("embedding").alias("embedding")))
     links = cut(
         _binned(distinct.select(*GROUP, "id", "embedding"), settings)
-        .groupBy(*GROUP, "cell", "block")
+        .groupBy(*GROUP, "cell", "block", "asker")
         .applyInArrow(lambda table: _search_bin(table, settings), LINK)
     )
     copied = distinct.where(F.col("id") != F.col("last")).select(*key, F.col("id").alias("first_id"))

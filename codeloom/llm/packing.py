@@ -1,11 +1,12 @@
-"""Filling containers of fixed capacity by harmonic classes, at most one text in several, little space left.
-
-Plain harmonic packing puts a length into the class of its reciprocal share of the capacity and fills a class's containers
-with a fixed number of texts: every worker places its texts by their rank alone. It may leave much of a container empty, a
-third where most lengths are just over half the capacity. Here each length is its own class, and a container of a class also
-takes a fixed number of texts from shorter classes that fit the rest. How many containers of which mixture there are follows
-from the number of texts of each length, a table bounded by the capacity and not by the data; it is planned on the driver,
-and workers again place each text by its length and rank alone.
+"""Filling containers of fixed capacity by refined harmonic classes, at most one text in several, little space left.
+
+Plain harmonic packing (``harmonic``) puts a length into the class of its reciprocal share of the capacity and fills a class's
+containers with a fixed number of texts: every worker places its texts by their rank alone. It may leave much of a container
+empty, a third where most lengths are just over half the capacity. ``containers`` refines the classes: a length is rounded up to
+one of ``GRID`` sizes of the capacity, a container is headed by as many texts of one size as its reciprocal allows, and what
+is left of it takes a fixed number of texts of smaller sizes. How many containers of which mixture there are follows from the
+number of texts of each size, at most ``GRID`` rows a capacity however many texts there are; it is planned on the driver, and
+workers again place each text by its size and rank alone.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codeloom.session import cut
 
-MOST_CAPACITIES, LARGEST_CAPACITY = 1_000, 4_000_000
+MOST_CAPACITIES = 1_000
+#: Sizes that a capacity is divided into; a text takes up less than one size more than it has, none where the capacity is smaller.
+GRID = 4_096
 
 
 def mixtures(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -65,8 +68,8 @@ def items_of(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     place and are left out, as are rows without doc_id; capacities must be 1 or more, others are ignored.
     """
     rows = capacities.where("max_tokens >= 1 and capacity_id is not null").select("capacity_id", F.col("max_tokens").cast("long")).distinct().limit(MOST_CAPACITIES + 1).collect()
-    if len(rows) > MOST_CAPACITIES or any(r[1] > LARGEST_CAPACITY for r in rows):
-        raise ValueError(f"at most {MOST_CAPACITIES} capacities of at most {LARGEST_CAPACITY} tokens")
+    if len(rows) > MOST_CAPACITIES:
+        raise ValueError(f"at most {MOST_CAPACITIES} capacities")
     options = F.array(*[F.struct(F.lit(r[0]).alias("capacity_id"), F.lit(r[1]).alias("max_tokens")) for r in rows]) if rows else F.expr("cast(array() as array<struct<capacity_id: string, max_tokens: bigint>>)")
     each = sizes.where("tokens > 0 and doc_id is not null").select("doc_id", "tokens", F.explode(options).alias("o")).select("doc_id", F.col("tokens").alias("total"), "o.*")
     parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("max_tokens")).cast("long"))
@@ -91,23 +94,26 @@ def harmonic(sizes: DataFrame, capacities: DataFrame, salts: int = 64) -> DataFr
 def containers(sizes: DataFrame, capacities: DataFrame, salts: int = 64) -> DataFrame:
     """(capacity_id, container, doc_id, part, first_token, tokens): every text in a numbered container of every capacity."""
     spark: SparkSession = sizes.sparkSession
-    items = cut(items_of(sizes, capacities))
-    histogram = items.groupBy("capacity_id", "max_tokens", "tokens").agg(F.count("*").alias("n")).collect()  # bounded by the capacities
+    unit = F.ceil(F.col("max_tokens") / GRID)
+    room = F.floor(F.col("max_tokens") / unit)
+    items = cut(items_of(sizes, capacities).withColumn("room", room).withColumn("size", F.least(F.ceil(F.col("tokens") / unit), room)))
+    histogram = items.groupBy("capacity_id", "room", "size").agg(F.count("*").alias("n")).collect()  # at most GRID rows a capacity
     by_capacity: dict[tuple[str, int], dict[int, int]] = defaultdict(dict)
     for row in histogram:
-        by_capacity[row["capacity_id"], row["max_tokens"]][row["tokens"]] = row["n"]
-    rules: dict[tuple[str, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+        by_capacity[row["capacity_id"], row["room"]][row["size"]] = row["n"]
+    rules: dict[tuple[str, int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
     for (name, capacity), counts in by_capacity.items():
         used: dict[int, int] = defaultdict(int)
         base = 0
         for times, parts in mixtures(counts, capacity):
             for size, each in parts:
-                rules[name, size].append((used[size], used[size] + each * times, each, base))
+                rules[name, capacity, size].append((used[size], used[size] + each * times, each, base))
                 used[size] += each * times
             base += times
-    schema = "capacity_id string, tokens bigint, rules array<struct<low: bigint, high: bigint, each: bigint, base: bigint>>"
-    table = spark.createDataFrame([(name, size, r) for (name, size), r in rules.items()], schema)
-    ranked = _ranked(items, ["capacity_id", "tokens"], salts).join(table, ["capacity_id", "tokens"])
+    schema = "capacity_id string, room bigint, size bigint, rules array<struct<low: bigint, high: bigint, each: bigint, base: bigint>>"
+    table = spark.createDataFrame([(*key, r) for key, r in rules.items()], schema)
+    key = ["capacity_id", "room", "size"]
+    ranked = _ranked(items, key, salts).join(table, key)
     mine = F.filter("rules", lambda r: (F.col("rank") >= r["low"]) & (F.col("rank") < r["high"]))[0]
     return ranked.select("*", mine.alias("rule")).select(
         "capacity_id", (F.col("rule.base") + F.floor((F.col("rank") - F.col("rule.low")) / F.col("rule.each"))).alias("container"), "doc_id", "part", "first_token", "tokens"

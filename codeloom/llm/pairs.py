@@ -4,7 +4,8 @@ Empty, copied, refusing and foreign-language answers are told from the pair alon
 answers together: identifiers and numbers are masked, the answers' sentences are sorted, and each sentence is compared with
 the ones that follow it in that order. A last sentence that is a shortened version of many others, or that hardly ever ends
 an answer, was cut off. The sort is a range partitioning of the distinct masked sentences with their counts; where a run of
-extensions crosses partitions, the few sentences still open at a partition's end are compared with the later ones.
+extensions crosses partitions, the few sentences still open at a partition's end are compared with the next ones for as long as those
+begin with them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codeloom.llm import messages as chat
 from codeloom.session import cut
@@ -22,8 +23,8 @@ from codeloom.session import cut
 END_SHARE = 0.4
 #: ... as is one whose last word is no identifier where, after the same stem, less than this share of all ends in any word so.
 STUMP_SHARE = 0.028
-#: An answer length is a limit if at least so many unfinished answers have exactly it, and so many times its neighbours' mean.
-SPIKE_LEAST, SPIKE_TIMES = 30, 8.0
+#: An answer length of at least so many characters is a limit if this share of all unfinished answers have exactly it, and so many times its neighbours' mean.
+SPIKE_SIZE, SPIKE_SHARE, SPIKE_TIMES = 80, 0.01, 8.0
 
 IDENTIFIER = re.compile(r"`[^`\n]{1,80}`|(?<![\w])(?:\d+\.)+\d+(?![\w])|[A-Za-z]\w*(?:[._:/\-]+\w+)+|[A-Za-z]\w*_\w*|\b[A-Za-z]+[a-z][A-Z]\w*|\b[A-Z]{2,}-[\d\-]+")
 NUMBER = re.compile(r"\d+(?:[.,:\-]\d+)*")
@@ -126,26 +127,40 @@ def fold(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", text.lower()))
 
 
+SCRIPTS = [(re.compile(r), name) for r, name in ((r"[가-힯]", "ko"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[Ͱ-Ͽ]", "el"))]
+KANA, EAST = re.compile(r"[぀-ヿ]"), re.compile(r"[぀-鿿]")
+LETTERS = [(name, frozenset(letters)) for name, letters in (("de", "äöüß"), ("fr", "èêçàùœé"), ("pl", "łśćąężź"), ("es", "ñ¿¡"), ("sv", "å"), ("cs", "řěů"), ("tr", "ğış"), ("pt", "ãõ"))]
+
+
 def language(text: str) -> str | None:
     """The language that a text's prose shows: by script, else by function words; None where it shows too little."""
-    prose = IDENTIFIER.sub(" ", FENCE.sub(" ", text))
-    kana = len(re.findall(r"[぀-ヿ]", prose))
-    han = len(HAN.findall(prose))
-    if kana >= 2 and kana * 4 >= han:
-        return "ja"
-    for script, name in ((r"[가-힯]", "ko"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[Ͱ-Ͽ]", "el")):
-        if len(re.findall(script, prose)) >= 6:
-            return name
-    words = [w.lower().replace("’", "'") for w in WORD.findall(re.sub(r"[぀-鿿]", " ", prose))]
+    return prose_language(IDENTIFIER.sub(" ", FENCE.sub(" ", text)))
+
+
+def prose_language(prose: str) -> str | None:
+    """``language`` of a text without code and identifiers."""
+    han = 0
+    if not prose.isascii():
+        kana, han = len(KANA.findall(prose)), len(HAN.findall(prose))
+        if kana >= 2 and kana * 4 >= han:
+            return "ja"
+        for script, name in SCRIPTS:
+            if len(script.findall(prose)) >= 6:
+                return name
+        prose = EAST.sub(" ", prose)
+    lowered = prose.lower().replace("’", "'")
+    words = WORD.findall(lowered)
     if han >= 2 and han >= len(words):
         return "zh"
     score: dict[str, float] = {}
     for word in words:
         for name in OF_WORD.get(word, ()):
             score[name] = score.get(name, 0) + 1 / len(OF_WORD[word])
-    for name, letters in (("de", "äöüß"), ("fr", "èêçàùœé"), ("pl", "łśćąężź"), ("es", "ñ¿¡"), ("sv", "å"), ("cs", "řěů"), ("tr", "ğış"), ("pt", "ãõ")):
-        if any(c in letters for w in words for c in w):
-            score[name] = score.get(name, 0) + 0.75
+    if not lowered.isascii():
+        used = set("".join(words))
+        for name, letters in LETTERS:
+            if used & letters:
+                score[name] = score.get(name, 0) + 0.75
     if not score:
         return None
     best = max(score, key=score.get)
@@ -158,7 +173,7 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     bare = BLANK.sub(" ", MARKUP.sub(" ", re.sub(r"<!--.*?-->", " ", text, flags=re.S))).strip()
-    return not bare or (len(bare) <= 40 and (fold(text) in FILLERS or fold(bare) in FILLERS))
+    return not bare or fold(bare) in FILLERS or fold(text) in FILLERS
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -183,7 +198,7 @@ def sentences_of(text: str) -> list[str]:
 
 def is_refusal(answer: str) -> bool:
     """Declines to answer and answers nothing: a declining sentence, and apart from it nothing but courtesies."""
-    if "```" in answer or len(answer) > 600:
+    if "```" in answer:
         return False
     declined = False
     for part in sentences_of(answer):
@@ -196,14 +211,22 @@ def is_refusal(answer: str) -> bool:
     return declined
 
 
-def is_foreign(question: str, answer: str) -> bool:
+#: Parts of the languages' names, one of which stands in every text that ``ASKED`` matches.
+LANGUAGE_NAMES = ("engl", "angl", "英", "german", "deutsch", "allemand", "德", "chin", "mandarin", "中文", "汉语", "华语", "french", "franz", "fran", "法", "span", "español", "西班牙", "ital", "意大利", "polish", "polnisch", "波兰", "japan", "日文", "日语")
+
+
+def is_foreign(question: str, answer: str, answer_prose: str | None = None) -> bool:
     """In another language than the question's, unless the question asks for that one."""
-    asked = [name for name, pattern in ASKED.items() if pattern.search(question)]
+    lowered = question.lower()
+    asked = [name for name, pattern in ASKED.items() if pattern.search(question)] if any(n in lowered for n in LANGUAGE_NAMES) else []
     plain = question
     for name in asked:
         plain = re.sub(r"(?:please (?:answer|reply|respond|write)|bitte|请)[^.!?。！？]*$", " ", plain.rstrip(" .!?。！？"), flags=re.I)
-    mine, theirs = language(answer), language(plain)
-    return mine is not None and theirs is not None and mine != theirs and mine not in asked
+    mine = language(answer) if answer_prose is None else prose_language(answer_prose)
+    if mine is None or mine in asked:
+        return False
+    theirs = language(plain)
+    return theirs is not None and mine != theirs
 
 
 def masked(text: str) -> str:
@@ -211,9 +234,9 @@ def masked(text: str) -> str:
     return NUMBER.sub("#", IDENTIFIER.sub(MASK, FENCE.sub(f"\n{MASK}{MASK}\n", text)))
 
 
-def units(text: str) -> tuple[list[str], bool]:
+def units(text: str, plain: str | None = None) -> tuple[list[str], bool]:
     """Masked sentences and lines in order without their closing marks, and whether the last one is terminated."""
-    plain = masked(text).strip()
+    plain = (masked(text) if plain is None else plain).strip()
     parts = [p.strip() for p in SPLIT.split(plain)]
     parts = [p for p in parts if p]
     done = not parts or bool(TERMINATED.search(parts[-1])) or parts[-1] == MASK + MASK
@@ -252,10 +275,10 @@ def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 defect = "copy"
             elif is_refusal(answer):
                 defect = "refusal"
-            elif is_foreign(question, answer):
+            elif is_foreign(question, answer, plain := masked(answer)):
                 defect = "language"
             else:
-                parts, done = units(answer)
+                parts, done = units(answer, plain)
                 hanging = hangs(answer)
             last = parts[-1] if parts and not done else None
             bare = bool(parts) and not any(prose_size(p.replace(MASK, " ").replace("#", " ")) for p in parts)
@@ -295,12 +318,18 @@ def extension_counts(texts: DataFrame) -> DataFrame:
         yield pd.DataFrame(closed(None), columns=["text", "ends", "inner", "longer", "part", "open"])
 
     local = cut(ranged.select("text", "ends", "inner", "part").mapInPandas(walk, "text string, ends long, inner long, longer long, part int, open boolean"))
-    open_ = local.where("open").select(F.col("text").alias("prefix"), F.col("part").alias("from_part"))
+    bounds = cut(ranged.groupBy("part").agg(F.min("text").alias("low"), F.max("text").alias("high")))
+    ahead = local.where("open").select(F.col("text").alias("prefix"), (F.col("part") + 1).alias("part"))
+    met = ahead.where("false")
+    while True:  # an open text goes on into the next partition if that begins with it, and beyond that if it ends with it
+        on = cut(ahead.join(bounds, "part").where(F.col("low").startswith(F.col("prefix"))))
+        met = met.unionByName(on.select("prefix", "part"))
+        ahead = on.where(F.col("high").startswith(F.col("prefix"))).select("prefix", (F.col("part") + 1).alias("part"))
+        if ahead.isEmpty():
+            break
     later = (
-        ranged.select("text", "ends", "inner", "part")
-        .join(F.broadcast(open_), (F.col("part") > F.col("from_part")) & F.col("text").startswith(F.col("prefix")))  # at most a stack per partition
-        .groupBy("prefix")
-        .agg(F.sum(F.col("ends") + F.col("inner")).alias("more"))
+        ranged.select("text", "ends", "inner", "part").join(met, "part").where(F.col("text").startswith(F.col("prefix")))
+        .groupBy("prefix").agg(F.sum(F.col("ends") + F.col("inner")).alias("more"))
     )
     return local.join(later, F.col("text") == F.col("prefix"), "left").select("text", "ends", "inner", (F.col("longer") + F.coalesce("more", F.lit(0))).alias("longer"))
 
@@ -345,10 +374,11 @@ def defects(pairs: DataFrame) -> DataFrame:
     counts = extension_counts(texts)
     stumps = open_.where("stem <> ''").groupBy("stem").agg(F.count("*").alias("stumps"))
     of_stem = counts.join(stumps, counts["text"] == stumps["stem"]).select("stem", (F.col("stumps") / F.expr("ends + inner + longer")).alias("stump_share"))
-    lengths = open_.groupBy("size").agg(F.count("*").alias("n"))
+    unfinished = fine.where("not bare and (hanging or (last is not null and last <> ''))")
+    lengths = unfinished.groupBy("size").agg(F.count("*").alias("n"))
     near = lengths.select(F.explode(F.expr("transform(array(-3,-2,-1,1,2,3), d -> size + d)")).alias("size"), F.col("n").alias("m"))
-    spikes = lengths.join(near.groupBy("size").agg((F.sum("m") / 6).alias("mean")), "size", "left").where(
-        (F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * F.coalesce("mean", F.lit(0.0))) & (F.col("size") >= 80)
+    spikes = lengths.withColumn("least", F.sum("n").over(Window.partitionBy()) * SPIKE_SHARE).join(near.groupBy("size").agg((F.sum("m") / 6).alias("mean")), "size", "left").where(
+        (F.col("n") >= F.greatest("least", F.lit(2))) & (F.col("n") >= SPIKE_TIMES * F.coalesce("mean", F.lit(0.0))) & (F.col("size") >= SPIKE_SIZE)
     )
     cut_off = (
         open_.join(counts, open_["last"] == counts["text"])

@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -94,15 +95,15 @@ _B, _A = r"(?<![A-Za-z0-9_'\-äöüß])", r"(?![A-Za-z0-9_äöüß@]|-\d|[.(]\w)
 #: What stands before and after persons' names. The first group of each is one name.
 AROUND = [
     (('Mr', 'Ms', 'Miss', 'Dr', 'Prof', 'Herr', 'Frau', 'Sir', 'Madam'), rf"{_B}{_TITLE}({PERSON}){_A}"),
-    ((' by ',), rf"(?i:{_B}(?:signed off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by) ({PERSON}){_A}"),
+    (((" by ",), re.compile(r"(?:off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by ", re.I)), rf"(?i:{_B}(?:signed off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by) ({PERSON}){_A}"),
     ((' with ',), rf"(?i:{_B}(?:agreed|spoke|talked|checked|met|discussed) with) ({PERSON}){_A}"),
     (('took over from',), rf"(?i:{_B}took over from) ({PERSON}){_A}"),
     (('Ask', 'Contact', 'Call', 'Ping', 'Customer', 'Client', 'Dear', 'Hi ', 'Hello', 'Kund', 'Both', 'Beide'), rf"{_B}(?:Ask|Contact|Call|Ping|Customer|Client|Dear|Hi|Hello|Kundin|Kunde|Both|Beide) ({FULL}){_A}"),
-    (('author', 'owner:', 'call:', 'contact:', 'Contact:', 'assignee:', 'reviewer:', 'reporter:', 'maintainer:'), rf"(?i:@author|\bowner:|\bon[ -]call:|\bauthor:|\bcontact:|\bassignee:|\breviewer:|\breporter:|\bmaintainer:) *({PERSON}){_A}(?!\.\w)"),
+    ((("author", "owner:", "call:", "contact:", "assignee:", "reviewer:", "reporter:", "maintainer:"), re.compile("author|owner:|call:|contact:|assignee:|reviewer:|reporter:|maintainer:", re.I)), rf"(?i:@author|\bowner:|\bon[ -]call:|\bauthor:|\bcontact:|\bassignee:|\breviewer:|\breporter:|\bmaintainer:) *({PERSON}){_A}(?!\.\w)"),
     (('says:', 'schein:', 'ustomer:', 'unde:', 'undin:', 'ame:', 'partner'), rf"(?i:\b(?:delivery note says|lieferschein|customer|kunde|kundin|name|ansprechpartner(?:in)?)): *({FULL}){_A}"),
     (('urch ', 'it ', 'on '), rf"(?:\bDurch|\bdurch|\bMit|\bmit|\bvon|\bVon) ({FULL}){_A}(?= ist|,? Tel| abgesprochen| in )"),
     (('Thanks', 'Regards', 'Best', 'Cheers', 'Danke', 'Gruß', 'Grüße', 'hip to', 'ersand an', 'eliver to', 'ieferung an', 'ill to'), rf"(?:Thanks|Regards|Best|Cheers|Danke|Gruß|Grüße|Ship to|Versand an|Deliver to|Lieferung an|Bill to)[,:!]?[ \t]*\r?\n[ \t]*({PERSON})[ \t]*(?=\r?\n|$)"),
-    (('reported it', 'called ', 'took over', ' has ', ' have access', ' hat ', ' haben Zugriff', 'ist abgesprochen', 'asked ', 'wrote '), rf"{_B}({PERSON}){_A} (?:reported it|called (?:again|back|in|twice)|took over|has (?:asked|reported|called)|have access|hat (?:den|die|das|zwei|drei|ein|wieder|noch)|haben Zugriff|ist abgesprochen|asked (?:for|whether|about)|wrote (?:again|back))"),
+    (((" reported it", " called ", " took over", " has ", " have access", " hat ", " haben zugriff", " ist abgesprochen", " asked ", " wrote "), re.compile(" (?:reported it|called (?:again|back|in|twice)|took over|has (?:asked|reported|called)|have access|hat (?:den|die|das|zwei|drei|ein|wieder|noch)|haben Zugriff|ist abgesprochen|asked (?:for|whether|about)|wrote (?:again|back))")), rf"{_B}({PERSON}){_A} (?:reported it|called (?:again|back|in|twice)|took over|has (?:asked|reported|called)|have access|hat (?:den|die|das|zwei|drei|ein|wieder|noch)|haben Zugriff|ist abgesprochen|asked (?:for|whether|about)|wrote (?:again|back))"),
     ((' have access', 'haben Zugriff', 'agreed', 'confirmed'), rf"{_B}({FULL}) (?:and|und) {PERSON}{_A} (?:have access|haben Zugriff|agreed|confirmed)"),
     ((' have access', 'haben Zugriff', 'agreed', 'confirmed'), rf"{_B}(?:and|und) ({PERSON}){_A} (?:have access|haben Zugriff|agreed|confirmed)"),
     (("'",), rf"\(\s*'({FULL})'\s*,"),
@@ -112,9 +113,40 @@ AROUND = [
     (('最先', '女士', '先生', '来电', '都有'), rf"(?<![A-Za-z])({FULL})(?=最先|女士|先生|来电|都有|和[^\s]{{2,20}}都有)"),
     (('Mit ', 'With '), rf"{_B}(?:Mit|With) ({FULL}){_A} "),
     (('living', 'wohnhaft', 'residing', 'reachable', 'erreichbar', 'Tel', 'tel', 'phone'), rf"{_B}({FULL}){_A}(?=,? (?:living at|wohnhaft|residing at|reachable under|erreichbar unter|Tel\.?\b|tel\b|phone\b))"),
-    ((' (',), rf"{_B}({FULL}){_A}(?= \((?:[^()\s]+@|[^()\s]+[ ]?[\[(]))"),
+    (((" (",), re.compile(r" \((?:[^()\s]+@|[^()\s]+[ ]?[\[(])")), rf"{_B}({FULL}){_A}(?= \((?:[^()\s]+@|[^()\s]+[ ]?[\[(]))"),
 ]
-_AROUND = [(triggers, re.compile(p, re.M)) for triggers, p in AROUND]
+def _gated(triggers: tuple[str, ...] | tuple[tuple[str, ...], re.Pattern], pattern: str) -> tuple[tuple[str, ...], re.Pattern | None, re.Pattern]:
+    """(literals of which one must occur, letter case aside if a gate follows; where to look closer; the pattern)."""
+    literals, gate = triggers if isinstance(triggers[-1], re.Pattern) else (triggers, None)
+    return literals, gate, re.compile(pattern, re.M)
+
+
+#: A name lies within so many characters of what it is told by.
+NEAR = 160
+
+
+def near_matches(gated: tuple[tuple[str, ...], re.Pattern | None, re.Pattern], text: str, lowered: str) -> Iterator[re.Match]:
+    """Matches of the pattern around its triggers; the next search starts where a match's last group ends."""
+    literals, gate, pattern = gated
+    if gate is not None:
+        hits = [(m.start(), m.end()) for m in gate.finditer(text)] if any(t in lowered for t in literals) else []
+    else:
+        hits = []
+        for t in literals:
+            i = text.find(t)
+            while i >= 0:
+                hits.append((i, i + len(t)))
+                i = text.find(t, i + 1)
+        hits.sort()
+    at, size = 0, len(text)
+    for start, end in hits:
+        low, high = max(at, start - NEAR), min(size, end + NEAR)
+        while low < high and (m := pattern.search(text, low, high)) and (m.end() < high - 8 or high == size):
+            yield m
+            at = low = max(m.end(m.lastindex), m.start() + 1)
+
+
+_AROUND = [_gated(triggers, p) for triggers, p in AROUND]
 #: A full name all in lower case; taken where the surroundings demand a name and no word of it is a common one.
 _LOW = r"(?:[a-z']{3,}(?:-[a-z]+)? (?:[a-z]\. ?)?(?:van |von |de )?[a-z']{3,}(?:-[a-z]+)?)"
 AROUND_LOW = [
@@ -128,7 +160,7 @@ AROUND_LOW = [
     (("('",), rf"\('({_LOW})', '"),
     (('"name"',), rf"\"name\":\"({_LOW})\""),
 ]
-_AROUND_LOW = [(triggers, re.compile(p, re.M)) for triggers, p in AROUND_LOW]
+_AROUND_LOW = [_gated(triggers, p) for triggers, p in AROUND_LOW]
 #: Common words in lower case that no name contains.
 COMMON = frozenset(
     """the this that these those and for with from into onto over under about after before our your his her its their all any each every some more most
@@ -164,9 +196,39 @@ NO_NAME = frozenset(
 PRODUCT_ENDS = frozenset("gateway portal depot ledger queue meter server service engine hub cloud api app core web console manager module cluster".split())
 
 
+#: What surrounds an e-mail address's host, and what its local part consists of: the address is tried at these places only.
+_AT_MARK = re.compile(r"@|[\[({<][ ]?(?:at|ät|AT)[ ]?[\])}>]|[ ](?:at|ät|AT)[ ]")
+#: Where a number may start, as ``_FREE`` has it; the character itself comes first, so that the search skips all others quickly.
+_NUMBER_START = re.compile(r"[+(\d](?<![\w\-/.:#=+][\-.:/].)(?<![A-Za-z0-9_\-.+/@#].)", re.S)
+_LETTER_START = re.compile(r"[A-Z](?<![\w\-/.:#=+][\-.:/].)(?<![A-Za-z0-9_\-.+/@#].)(?=[A-Z] ?\d\d|\d{8}|[0-9CFGHJKLMNPRTVWXYZ]{8})", re.S)
+_UNIT_BEFORE = re.compile(rf"{_FREE}{_UNIT}\Z", re.I)
+_DE_MARK = re.compile(r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|steig|zeile|hof|ring|stieg) \d|\d ?[a-z]?, (?:D-)?\d{5} [A-ZÄÖÜ]")
+_QUOTED_NUMBER = re.compile(r"[\"'](?:\d{9}|\d{11})(?=[\"'])")
+
+
+def starts_matching(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """Matches at the given places in order, none of which overlaps the one before."""
+    end = 0
+    for start in starts:
+        if start >= end and (m := pattern.match(text, start)):
+            end = m.end()
+            yield m
+
+
+def email_starts(text: str) -> list[int]:
+    """The places where a local part may begin: in the run of its characters before each mark."""
+    out = []
+    for mark in _AT_MARK.finditer(text):
+        low = mark.start()
+        while low and (text[low - 1] in "._%+'-" or text[low - 1].isalnum() or (low == mark.start() and text[low - 1] == " ")):
+            low -= 1
+        out += range(max(low, out[-1] + 1 if out else 0), mark.start())
+    return out
+
+
 def fold(text: str) -> str:
     """Full-width and typographic characters as ASCII, one for one."""
-    return text.translate(FULL_WIDTH)
+    return text if text.isascii() else text.translate(FULL_WIDTH)
 
 
 class Finder:
@@ -180,6 +242,7 @@ class Finder:
         self.han = re.compile(rf"(?:{'|'.join(map(re.escape, surnames))})(?:[一-鿿]{{2}}|[一-鿿])") if surnames else None
         latin_names = sorted(self.given | self.family, key=len, reverse=True)
         self.known_re = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, latin_names))})(?![A-Za-z0-9])") if latin_names else None
+        self.latin = latin_names
         self.word = re.compile(r"(?<![A-Za-z0-9_'\-.@/äöüß])(?:van |von |de |Van |VAN )?[A-Za-zÄÖÜäöü][A-Za-z'äöüßÄÖÜéè]+(?:-[A-Z][A-Za-zäöüß]+)?(?![A-Za-z0-9_äöüß@/]|-[\w]|\.\w|\()")
 
     def find(self, given_text: str) -> list[tuple[int, int, str]]:
@@ -195,21 +258,24 @@ class Finder:
             taken.append((start, end, kind))
             return True
 
-        if "@" in text or " at " in text or "at" in text and re.search(r"[\[({<] ?(?:at|AT|ät)", text):
-            for m in EMAIL.finditer(text):
-                add(m.start(), m.end(), "email")
-        if re.search(r"\d", text):
-            self._addresses(text, add)
-            self._numbers(text, add, {end for _, end, kind in taken if kind == "address"})
+        for m in starts_matching(EMAIL, text, email_starts(text)):
+            add(m.start(), m.end(), "email")
+        starts = [m.start() for m in _NUMBER_START.finditer(text)]
+        if starts:
+            self._addresses(text, add, starts)
+        letters = [m.start() for m in _LETTER_START.finditer(text)]
+        if starts or letters:
+            self._numbers(text, add, {end for _, end, kind in taken if kind == "address"}, starts, letters)
         self._names(text, add, marks)
         return sorted(taken)
 
     @staticmethod
-    def _addresses(text: str, add) -> None:
-        for m in ADDRESS_EN.finditer(text):
+    def _addresses(text: str, add, starts: list[int]) -> None:
+        for m in starts_matching(ADDRESS_EN, text, [i for i in starts if text[i].isdigit()]):
             if not NOT_STREET & set(m["mid"].lower().split()):
-                add(m.start(), m.end(), "address")
-        for m in ADDRESS_DE.finditer(text):
+                unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
+                add(unit.start() if unit else m.start(), m.end(), "address")
+        for m in ADDRESS_DE.finditer(text) if _DE_MARK.search(text) else ():
             add(m.start(), m.end(), "address")
         if "号" in text:
             for m in ADDRESS_ZH.finditer(text):
@@ -217,31 +283,29 @@ class Finder:
                 add(m.start() + (lead.end() if lead else 0), m.end(), "address")
 
     @staticmethod
-    def _numbers(text: str, add, address_ends: set[int]) -> None:
-        for m in re.finditer(r"(?<=[\"'])(?:\d{9}|\d{11})(?=[\"'])", text):  # a record of name, address and number
-            if m.start() - 4 in address_ends:
-                add(m.start(), m.end(), "id_number")
-        for pattern, needs_context in ID_SHAPES if _MAYBE_ID.search(text) else ():
-            for m in pattern.finditer(text):
+    def _numbers(text: str, add, address_ends: set[int], starts: list[int], letters: list[int]) -> None:
+        for m in _QUOTED_NUMBER.finditer(text):  # a record of name, address and number
+            if m.start() - 3 in address_ends:
+                add(m.start() + 1, m.end(), "id_number")
+        both = sorted(starts + letters)
+        for pattern, needs_context in ID_SHAPES:
+            for m in starts_matching(pattern, text, both):
                 before = text[max(0, m.start() - 60) : m.start()]
                 if (not needs_context or ID_CONTEXT.search(before)) and not NO_PHONE.search(before[-12:]):
                     add(m.start(), m.end(), "id_number")
-        for m in PHONE.finditer(text):
+        for m in starts_matching(PHONE, text, starts):
             digits = sum(c.isdigit() for c in m.group())
             if 9 <= digits <= 20 and not NO_PHONE.search(text[max(0, m.start() - 14) : m.start()]):
                 add(m.start(), m.end(), "phone")
 
     def _names(self, text: str, add, marks: bytearray) -> None:
         spans: list[tuple[int, int]] = []
-        for triggers, pattern in _AROUND:
-            if not any(t in text for t in triggers):
-                continue
-            at = 0
-            while m := pattern.search(text, at):
-                at = max(m.end(1), m.start() + 1)
+        lowered = text.lower()
+        for gated in _AROUND:
+            for m in near_matches(gated, text, lowered):
                 spans += self._trimmed(text, m.start(1), m.end(1))
-        for triggers, pattern in _AROUND_LOW:
-            for m in pattern.finditer(text) if any(t in text for t in triggers) else ():
+        for gated in _AROUND_LOW:
+            for m in near_matches(gated, text, lowered):
                 words = set(m.group(m.lastindex).split())
                 if not words & COMMON and not words & NO_NAME:
                     spans.append((m.start(m.lastindex), m.end(m.lastindex)))
@@ -249,7 +313,7 @@ class Finder:
             spans += [(m.start(1), m.end(1)) for m in pattern.finditer(text) if not re.search("女士|先生|什么|怎么|哪个|如何|系统|消息|字段|任务|模块|数据|这个|问题|版本|之后|缓存|权限|订单|构建|主题|通道|工单|收货|证件", m.group(1))]
         parts = {w.lower() for a, b in spans for w in re.findall(r"(?:van |von |de )?[A-Za-zÄÖÜäöüß']{3,}(?:-[A-Za-zäöüß]+)?", text[a:b])} - NO_NAME
         known = parts | self.given | self.family
-        if (self.known_re and self.known_re.search(text)) or parts:
+        if parts or (any(n in lowered for n in self.latin) and self.known_re.search(text)):
             spans += self._by_lexicon(text, known)
         if self.han:
             spans += [self._han_end(text, m.start(), m.end()) for m in self.han.finditer(text)]
@@ -335,29 +399,47 @@ def _lexicon(lexicon: DataFrame) -> list[tuple[str, str, str]]:
     return [tuple(r) for r in rows]
 
 
+def coreferent(found: list[tuple[int, int, str]], text: str) -> list[str]:
+    """The entity of each span: its canonical value, and for initials with a family name the only full name of the text that fits."""
+    own = [canonical(text[a:b], kind) for a, b, kind in found]
+    full: dict[tuple[str, str], set[str]] = {}
+    for value, (_, _, kind) in zip(own, found):
+        parts = value.split()
+        if kind == "name" and len(parts) > 1 and len(parts[0].rstrip(".")) > 1:
+            full.setdefault((parts[0][0], parts[-1]), set()).add(value)
+    out = []
+    for value, (_, _, kind) in zip(own, found):
+        parts = value.replace(".", ". ").split()
+        if kind == "name" and len(parts) > 1 and len(parts[0].rstrip(".")) == 1:
+            fits = full.get((parts[0][0], parts[-1]), set())
+            value = next(iter(fits)) if len(fits) == 1 else value
+        out.append(value)
+    return out
+
+
 def entities(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, start_pos, end_pos, pii_type, value) of every occurrence; null and empty texts have none.
+    """(doc_id, text_key, start_pos, end_pos, pii_type, value, entity) of every occurrence; null and empty texts have none.
 
     ``start_pos`` counts characters of the text from 0. Spans never overlap: where two could, e-mail addresses go before
-    addresses, these before numbers and these before names. Rows of one doc_id are taken as they come.
+    addresses, these before numbers and these before names. Rows of one doc_id are taken as they come; ``text_key``, a hash
+    of the text, tells their occurrences apart. ``entity`` is what the value denotes, equal for its spellings.
     """
     names = _lexicon(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(names)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for start, end, kind in finder.find(text):
-                    for column, value in zip(out, (doc_id, start, end, kind, text[start:end])):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for doc_id, text_key, text in zip(batch["doc_id"].to_pylist(), batch["text_key"].to_pylist(), batch["text"].to_pylist()):
+                found = finder.find(text)
+                for (start, end, kind), entity in zip(found, coreferent(found, text)):
+                    for column, value in zip(out, (doc_id, text_key, start, end, kind, text[start:end], entity)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())],
-                ["doc_id", "start_pos", "end_pos", "pii_type", "value"],
-            )
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "text_key", "start_pos", "end_pos", "pii_type", "value", "entity"])
 
-    texts = spread(documents.where("doc_id is not null and text <> ''").select("doc_id", "text"), "doc_id")
-    return texts.mapInArrow(run, "doc_id long, start_pos long, end_pos long, pii_type string, value string")
+    texts = spread(documents.where("doc_id is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id")
+    return texts.mapInArrow(run, "doc_id long, text_key long, start_pos long, end_pos long, pii_type string, value string, entity string")
 
 
 #: Attempts at a surrogate of one length.
@@ -381,15 +463,25 @@ def canonical(value: str, kind: str) -> str:
     return " ".join(text.lower().split())
 
 
-def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
-    """A replacement of the same type, script and format, chosen by a keyed hash of the canonical value.
+#: Characters of given names that are a woman's, and that are a man's; surrogates of theirs are taken from the same list.
+HAN_GENDER = ("芳娜丽婷娟敏静玲雪梅兰英霞燕红琴萍莉倩颖", "伟强军勇刚杰涛明超辉鹏浩健斌龙飞建国志峰")
+_KEPT_WORDS = frozenset(f"{STREET}|flat|apt|apartment|unit|suite|room|am|an|der|den|auf|im|in|zum|zur|alte|neue|lange|hohe".split("|"))
+_STREET_END = re.compile(r"(straße|strasse|str|gasse|weg|allee|platz|ufer|damm|steig|zeile|hof|ring|stieg)$")
 
-    Digits stay digits and letters letters in numbers and house numbers, each part of a name gets the same replacement
-    wherever it occurs, in the case of the original; e-mail addresses go to a reserved domain. ``attempt`` makes another one,
-    longer by a syllable, character or digit after every ``ATTEMPTS``, so that no form runs out of surrogates.
+
+def surrogate(value: str, kind: str, key: bytes, attempt: int = 0, entity: str | None = None) -> str:
+    """A replacement of the same type, script and format, chosen by a keyed hash of what the value denotes.
+
+    Digits stay digits and letters letters in numbers; of addresses numbers and proper names change and street words stay.
+    Each part of a name gets the same replacement wherever it occurs, in the case of the original. Gender is kept as far as
+    names tell it: a part's last letter where it is a vowel, as in Anna or Marco, and Han characters that are common for one
+    gender go to others of the same. Initials are those of the replaced full name if ``entity`` is one. E-mail addresses
+    go to a reserved domain. ``attempt`` makes another one, longer by a syllable, character or digit after every
+    ``ATTEMPTS``, so that no form runs out of surrogates.
     """
 
     longer = attempt // ATTEMPTS
+    entity = canonical(value, kind) if entity is None else entity
 
     def stream(text: str) -> Iterator[int]:
         n = 0
@@ -398,50 +490,102 @@ def surrogate(value: str, kind: str, key: bytes, attempt: int = 0) -> str:
             n += 1
 
     def letters(part: str, length: int = 3) -> str:
-        script = "han" if re.search(r"[㐀-鿿]", part) else "latin"
         source = stream(part.lower())
-        if script == "han":
-            return "".join(_SYLLABLES["han"][(next(source) * 256 + next(source)) % len(_SYLLABLES["han"])] for _ in range(len(part) + longer))
+        if re.search(r"[㐀-鿿]", part):
+            out = []
+            for c in part + part[-1] * longer:
+                pool = next((g for g in HAN_GENDER if c in g), None)
+                draw = next(source) * 256 + next(source)
+                out.append(pool[draw % len(pool)] if pool else _SYLLABLES["han"][draw % len(_SYLLABLES["han"])])
+            return "".join(out)
         word = "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(length + longer))
+        if kind == "name" and part[-1].lower() in "aeiouy":
+            word = word.rstrip("aeiou") + part[-1].lower()
         return word.upper() if part.isupper() and len(part) > 1 else word.capitalize() if part[:1].isupper() else word
 
     text = fold(value)
     if kind == "email":
-        source = stream(canonical(value, kind))
+        source = stream(entity)
         return "".join(_SYLLABLES["latin"][next(source) % 128] for _ in range(4 + longer)) + "@mail.example"
     if kind in ("phone", "id_number"):
-        source = stream(canonical(value, kind))
+        source = stream(entity)
         return "".join(str(next(source) % 10) if c.isdigit() else chr(65 + next(source) % 26) if c.isupper() and kind == "id_number" else c for c in text + "0" * longer)
     if kind == "name":
-        made = re.sub(r"[A-Za-zÄÖÜäöüßéè'\-]+|[㐀-鿿]+", lambda m: m[0] if len(m[0]) == 1 and m[0].isupper() else letters(m[0]), text)
-        return f"{made} {letters(canonical(value, kind)).capitalize()}" if longer else made  # for names all of initials too
-    source = stream(canonical(value, kind))
+        known = iter([p for p in entity.split()[:-1] if len(p) > 1 and p[-1] != "."])
+
+        def named(m: re.Match) -> str:
+            if len(m[0]) == 1 and m[0].isupper():
+                whole = next(known, None)
+                return letters(whole)[0].upper() if whole and whole[0] == m[0].lower() else chr(65 + next(stream(m[0].lower())) % 26)
+            return letters(m[0])
+
+        made = re.sub(r"[A-Za-zÄÖÜäöüßéè'\-]+|[㐀-鿿]+", named, text)
+        return f"{made} {letters(entity).capitalize()}" if longer else made  # for names all of initials too
+    source = stream(entity)
     spaced = re.sub(r"\d", lambda m: str(next(source) % 10), text + (" " + "0" * longer if longer else ""))
-    return re.sub(r"[㐀-鿿]{2}(?=[市区路街])|\b[A-ZÄÖÜ][a-zäöüß]{3,}\b", lambda m: letters(m[0]), spaced)
+
+    def placed(m: re.Match) -> str:
+        end = _STREET_END.search(m[0])
+        if m[0].lower() in _KEPT_WORDS:
+            return m[0]
+        return letters(m[0][: end.start()]) + end[0] if end and end.start() else letters(m[0])
+
+    return re.sub(r"[㐀-鿿]{2}(?=[市区路街])|\b[A-ZÄÖÜ][a-zäöüß]{2,}\b", placed, spaced)
+
+
+def _made(key: bytes):
+    """A pandas UDF of (value, pii_type, attempt, entity)."""
+
+    @F.pandas_udf("string")
+    def make(value: pd.Series, kind: pd.Series, attempt: pd.Series, entity: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(v, k, key, int(n), e) for v, k, n, e in zip(value, kind, attempt, entity)], dtype=object)
+
+    return make
 
 
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
-    """(pii_type, entity, surrogate, occurrences): one row per distinct entity, surrogates distinct within a type.
+    """(pii_type, entity, surrogate, occurrences, attempt): one row per distinct entity, surrogates distinct within a type.
 
-    Entities are canonical values, so spellings of one phone number or address share their surrogate. In every round each
-    open entity makes its next attempt; it is settled unless the surrogate is taken already or a lesser entity has the same
-    one in this round. Rounds go on until none is open; longer attempts make each round settle more.
+    Spellings of one entity share its surrogate. In every round each open entity makes its next attempt; it is settled unless
+    the surrogate is taken already or a lesser entity has the same one in this round. Rounds go on until none is open; longer
+    attempts make each round settle more.
     """
-    own = F.udf(lambda v, k: canonical(v, k))
-    make = F.udf(lambda v, k, n: surrogate(v, k, key, n))
+    make = _made(key)
     taken = ["pii_type", "surrogate"]
-    left = cut(found.select("pii_type", own("value", "pii_type").alias("entity"), "value").groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.min("value").alias("sample")))
+    left = cut(found.groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.max_by("value", F.struct(F.length("value"), "value")).alias("sample")))
     settled, attempt = None, 0
     while settled is None or not left.isEmpty():
-        tried = cut(left.withColumn("surrogate", make("sample", "pii_type", F.lit(attempt))))
+        tried = cut(left.withColumn("surrogate", make("sample", "pii_type", F.lit(attempt), "entity")))
         free = tried if settled is None else tried.join(settled.select(*taken), taken, "left_anti")
-        won = store.first_wins(free, taken, ["entity"]).select("pii_type", "entity", "surrogate", "occurrences")
+        won = store.first_wins(free, taken, ["entity"]).select("pii_type", "entity", "surrogate", "occurrences", F.lit(attempt).alias("attempt"))
         settled = cut(won if settled is None else settled.unionByName(won))
         left = cut(left.join(settled.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti"))
         attempt += 1
     return settled
 
 
+def rewritten(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
+    """(doc_id, text, replaced) with every entity replaced by its surrogate, written as the occurrence is.
+
+    The attempt that made an entity's surrogate distinct holds for all its occurrences; ``replaced`` counts them. Null and
+    empty texts come out as they are, rows without doc_id too. A text's replacements are brought together by (doc_id, hash
+    of the text); an entity of many occurrences is joined by its key, which AQE splits.
+    """
+    found = cut(entities(documents, lexicon))
+    table = surrogates(found, key).select("pii_type", "entity", "attempt")
+    make = _made(key)
+    spans = (
+        found.distinct().join(table, ["pii_type", "entity"]).withColumn("by", make("value", "pii_type", "attempt", "entity"))
+        .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "by"))).alias("spans"))
+    )
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(spans, ["doc_id", "text_key"], "left")
+    between = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    step = lambda s, e: F.struct(e["end_pos"].alias("at"), F.concat(s["out"], between(s["at"], e["start_pos"] - s["at"]), e["by"]).alias("out"))
+    made = F.aggregate("spans", begin, step, lambda s: F.concat(s["out"], between(s["at"], F.length("text"))))
+    return texts.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(made).alias("text"), F.coalesce(F.when(F.col("spans").isNotNull(), F.size("spans")), F.lit(0)).alias("replaced"))
+
+
 def redacted(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text) with every entity replaced by a typed placeholder such as ``[NAME:4f2a91c0d3e7b658]``.
 
@@ -456,8 +600,9 @@ def redacted(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
             texts = []
             for text in batch["text"].to_pylist():
                 at, parts = 0, []
-                for start, end, kind in finder.find(text) if text else ():
-                    tag = hashlib.blake2b(f"{kind}|{canonical(text[start:end], kind)}".encode(), key=key, digest_size=8).hexdigest()
+                found = finder.find(text) if text else []
+                for (start, end, kind), entity in zip(found, coreferent(found, text or "")):
+                    tag = hashlib.blake2b(f"{kind}|{entity}".encode(), key=key, digest_size=8).hexdigest()
                     parts += [text[at:start], f"[{kind.upper()}:{tag}]"]
                     at = end
                 texts.append(None if text is None else "".join(parts) + text[at:])

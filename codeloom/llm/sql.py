@@ -31,6 +31,14 @@ faults as (
   left join facts f on f.thread_db_id = t.id left join open_ends o on o.thread_db_id = t.id)
 """
 
+SIZED = r"""
+told as (
+  select id, content, updated_at, case when json_valid(metadata) then json_extract_string(metadata, '$.max_tokens') end as raw
+  from code_chunks where status = 'active' and id is not null and content is not null),
+sized as (select id, content, updated_at, case when regexp_matches(raw, '^\s*\+?\d{1,9}(\.\d*)?\s*$') and try_cast(trim(raw) as double) >= 1
+    then cast(floor(try_cast(trim(raw) as double)) as int) else 800 end as max_tokens,
+    len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_./:\-]+')) as tokens from told)"""
+
 ORACLE = {
     "p2_found": """
       with fine as (
@@ -42,13 +50,16 @@ ORACLE = {
         join fine b on a.project_id = b.project_id and a.embedding_model = b.embedding_model and a.id <> b.id),
       best as (select * from near qualify row_number() over (partition by id order by c desc, near) <= 5)
       select distinct least(id, near) as id_a, greatest(id, near) as id_b from best where c >= 0.85""",
-    "p3_found": r"""
-      with told as (
-        select id, content, case when json_valid(metadata) then json_extract_string(metadata, '$.max_tokens') end as raw
-        from code_chunks where status = 'active' and id is not null and content is not null),
-      sized as (select id, case when regexp_matches(raw, '^\s*\+?\d{1,9}(\.\d*)?\s*$') and try_cast(trim(raw) as double) >= 1
-          then cast(floor(try_cast(trim(raw) as double)) as int) else 800 end as max_tokens,
-          len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_./:\-]+')) as tokens from told)
-      select distinct id as chunk_id from sized where tokens > max_tokens""",
+    "p3_found": f"with {SIZED} select distinct id as chunk_id from sized where tokens > max_tokens",
+    "p7_order": f"""with {FAULTS}
+      select thread_db_id, row_number() over (partition by thread_db_id order by created_at, id) - 1 as position, id, speaker
+      from told where not blank and created_at is not null and speaker is not null
+        and thread_db_id in (select id from rag_threads) and thread_db_id not in (select thread_db_id from faults where reason is not null)""",
+    "p3_rejoined": f"""with {SIZED}
+      select id as chunk_id, md5(arg_max(content, (updated_at, content))) as content, true as within from sized where tokens > max_tokens group by id""",
+    "p8_checks": "select capacity_id, (select count(*) from documents where text <> '') as texts, 0 as overfull, 0 as split_needlessly from pack_capacities",
+    "p9_checks": """select source, cast(max_repeats as bigint) as max_repeats, 0 as over_cap, false as far_off from mix_targets
+      where source in (select regexp_replace(lower(trim(source)), '[ \-]+', '_', 'g') from documents where text <> '')""",
+    "p10_counts": "select doc_id, false as unsound from documents",
     "p7_found": f"with {FAULTS} select thread_db_id, reason from faults where reason is not null",
 }

@@ -58,7 +58,21 @@ def test_order_and_links_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert got[1] == got[9] and [r[1] for r in got[1]] == list(range(len(rows)))
     links = {r[2]: (r[3], r[6], r[8]) for r in got[1]}
-    assert all(root <= i for i, (_, _, root) in links.items()) and all(s != "assistant" or p is not None for s, p, _ in links.values())
+    assert all(root is None or root <= i for i, (_, _, root) in links.items()) and all(s != "assistant" or p is not None for s, p, _ in links.values())
+
+
+def test_interleaved_questions_are_told_apart_by_scores(spark, monkeypatch):
+    rows = [
+        (1, "user", "Which table does order_sync write?", 0), (1, "user", "How often does mail_relay retry?", 1), (1, "assistant", "order_sync writes the table order_log.", 2),
+        (1, "tool", "{}", 3), (1, "assistant", "mail_relay does retry three times.", 4), (2, "user", "Why does cart_job fail?", 0), (2, "assistant", "A lock.", 1), (2, "user", "And the queue_job?", 2), (2, "assistant", "cart_job waits for the lock.", 3),
+    ]
+    threads, messages = build(spark, [1, 2], rows)
+    told = chat.merged(messages).where(~chat.F.col("blank"))
+    links = chat.reply_links(chat.in_order(told.drop("blank")))
+    assert {r.id: (r.reply_to, r.root_id, r.turn_id) for r in links.where("speaker = 'assistant'").collect()} == {2: (0, 0, 1), 4: (1, 1, 1), 6: (5, 5, 5), 8: (5, 5, 7)}
+    by_tree = {r.thread_db_id: r.reason for r in chat.thread_faults(threads, told, links, confirm=False).collect()}
+    confirmed = {r.thread_db_id: r.reason for r in chat.thread_faults(threads, told, links).collect()}
+    assert by_tree == {1: "no_reply", 2: "no_reply"} and confirmed == {1: "no_reply"}
 
 
 def test_empty_tables(spark):

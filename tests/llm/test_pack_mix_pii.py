@@ -93,10 +93,10 @@ def test_entities(text, items):
 
 
 def test_tables_placeholders_and_surrogates(spark):
-    docs = spark.createDataFrame([(1, "Signed off by Maren Holtby. tel +44 7700 900139"), (2, "owner: Holtby, Maren"), (3, None), (4, ""), (None, "Mr. Holtby")], "doc_id long, text string").selectExpr("*", "1 as start_pos", "'z' as pii_type")
+    docs = spark.createDataFrame([(1, "Signed off by Maren Holtby. tel +44 7700 900139"), (2, "owner: Holtby, Maren. Later M. Holtby wrote"), (3, None), (4, ""), (None, "Mr. Holtby")], "doc_id long, text string").selectExpr("*", "1 as start_pos", "'z' as pii_type")
     lexicon = spark.createDataFrame(LEXICON + [(None, None, None)], "name string, name_part string, script string")
     hits = pii.entities(docs, lexicon)
-    assert {(r.doc_id, r.start_pos, r.pii_type) for r in hits.collect()} == {(1, 14, "name"), (1, 32, "phone"), (2, 7, "name")}
+    assert {(r.doc_id, r.start_pos, r.pii_type) for r in hits.collect()} == {(1, 14, "name"), (1, 32, "phone"), (2, 7, "name"), (2, 28, "name")}
     texts = {r.doc_id: r.text for r in pii.redacted(docs, lexicon, b"k").collect()}
     assert texts[3] is None and texts[4] == "" and texts[1].startswith("Signed off by [NAME:") and texts[1][14:36] == texts[2][7:29]
     assert pii.entities(docs.limit(0), lexicon).count() == 0 and pii.entities(docs, lexicon.limit(0)).count() >= 2
@@ -114,5 +114,19 @@ def test_surrogates_keep_type_script_and_format():
 
 def test_surrogates_stay_distinct_where_many_collide(spark):
     rows = [(str(i), "id_number") for i in range(10, 100)] + [(chr(0x4E00 + i), "name") for i in range(200)]
-    got = pii.surrogates(spark.createDataFrame(rows, "value string, pii_type string"), b"k").collect()
+    got = pii.surrogates(spark.createDataFrame(rows, "value string, pii_type string").selectExpr("*", "value as entity"), b"k").collect()
     assert len(got) == len(rows) == len({(r.pii_type, r.surrogate) for r in got}) and all(r.occurrences == 1 for r in got)
+
+
+def test_surrogates_in_texts_keep_coreference_gender_and_street_words(spark):
+    text = "Signed off by Maren Holtby. Mr. M. Holtby lives at 15 High Street. Ask Anna Holtby."
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "nobody"), (2, None), (3, ""), (None, "Mr. Holtby")], "doc_id long, text string").selectExpr("*", "1 as spans", "2 as entity")
+    lexicon = spark.createDataFrame(LEXICON, "name string, name_part string, script string")
+    got = pii.rewritten(docs, lexicon, b"k").collect()
+    texts = sorted((r.doc_id or 0, r.text or "", r.replaced) for r in got)
+    assert len(got) == 6 and texts[0] == (0, "Mr. Holtby", 0) and ("nobody", 0) in [t[1:] for t in texts] and texts[-1] == (3, "", 0)
+    new = next(t for _, t, n in texts if n)
+    first, last = new.split("off by ")[1].split(".")[0].split()
+    assert f"Mr. {first[0]}. {last} lives at " in new and " Street. Ask " in new and "15 High" not in new and "Holtby" not in new
+    assert new.split("Ask ")[1].split()[0].endswith("a") and new.split("Ask ")[1].split()[1] == f"{last}."
+    assert pii.rewritten(docs.limit(0), lexicon, b"k").count() == 0

@@ -81,3 +81,13 @@ def test_declarations_document_definitions(spark):
     frame = spark.createDataFrame(rows, schema).selectExpr("*", "1 as overload", "1 as documented", "1 as r")
     assert {(r.symbol_id, r.described_by) for r in docpairs.pairs(frame).collect()} == {("d", "d"), ("i", "d"), ("n", "n")}
     assert docpairs.pairs(frame.limit(0)).count() == 0
+
+
+def test_the_joined_table_decides_which_functions_are_documented(spark):
+    schema = "id string, project_id string, file_id string, kind string, name string, qualified_name string, signature string, docstring string, updated_at timestamp"
+    rows = [
+        ("a", "p", "f1", "method", "run", "a.B.run", "void run(int y);", "TODO", T), ("b", "p", "f2", "method", "run", "a.B.run", "public void run(final int w) {", "Blocks until done.", T),
+        ("c", "p", "f3", "method", "run", "a.B.run", "void run(int q)", None, T), ("d", "p", "f3", "method", "run", "a.B.run", "void run(long q)", "TODO", T),
+    ]
+    got = {r.symbol_id: (r.described_by, r.told) for r in docpairs.joined(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"a": ("b", True), "b": ("b", True), "c": ("b", True), "d": ("d", False)}
