@@ -142,3 +142,58 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def clear_outputs(edges: DataFrame, chunks: DataFrame, symbols: DataFrame, changed: DataFrame, by: tuple[str, ...] = ("refinement",)) -> tuple[DataFrame, DataFrame]:
+    """(edges, chunks) without what a refinement made from the changed files (``file_id``): edges it resolved that start at their symbols, and their chunks.
+
+    Rows with null keys stay. ``changed`` may hold every file; with none nothing is cleared.
+    """
+    gone = changed.select("file_id").dropna().distinct()
+    starts = symbols.join(gone, "file_id", "left_semi").select(F.col("id").alias("source_id")).distinct()
+    made = F.coalesce(F.col("resolved_by").isin(*by), F.lit(False))
+    kept = edges.where(~made).unionByName(edges.where(made).join(starts, "source_id", "left_anti").select(*edges.columns))
+    return kept, chunks.join(gone, "file_id", "left_anti").select(*chunks.columns)
+
+
+def embedding_id(chunk_id: Column, model: Column, dim: Column) -> Column:
+    """The id of a chunk's vector of a model and dimension: the same each time it is written."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", chunk_id, model, dim.cast("string")), 256), 1, 32)
+
+
+def upsert_embeddings(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored vectors with the fresh ones (chunk_id, embedding_model, embedding_dim, ...) written over those of their id."""
+    keyed = fresh.withColumn("id", embedding_id(F.col("chunk_id"), F.col("embedding_model"), F.col("embedding_dim"))).select(*stored.columns)
+    return merge(stored, keyed, ["id"])
+
+
+def typed_chunks(chunks: DataFrame, template: str, prefix: str = "artifact_") -> DataFrame:
+    """The chunks whose type begins with a prefix and that were made by a template."""
+    return chunks.where(F.col("chunk_type").startswith(prefix) & (F.col("template_version") == template))
+
+
+def without_typed(chunks: DataFrame, template: str, prefix: str = "artifact_") -> DataFrame:
+    """What is left when those are deleted; rows with a null type or template stay."""
+    return chunks.where(~F.coalesce(F.col("chunk_type").startswith(prefix) & (F.col("template_version") == template), F.lit(False)))
+
+
+def upsert_files(stored: DataFrame, scanned: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(next files, KEYS and id of the scanned ones): scanned rows over stored ones of their key, which keep their id; errors are cleared.
+
+    A new row's id is a hash of its key.
+    """
+    ids = stored.select(*keys, F.col("id").alias("known_id"))
+    named = scanned.join(ids, keys, "left").withColumn("id", F.coalesce("known_id", F.substring(F.sha2(F.concat_ws("\x1f", *keys), 256), 1, 32))).drop("known_id")
+    rows = named.withColumn("error", F.lit(None).cast("string")).select(*stored.columns)
+    return merge(stored, rows, keys), named.select(*keys, "id")
+
+
+def cut_short(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id) of methods stored with one line although their source line opens a brace and does not close it.
+
+    ``symbols`` with path, start_line and end_line; ``texts``: path, text. Only files of such methods are split into lines.
+    """
+    short = symbols.where(F.col("kind").isin("method", "constructor") & (F.col("end_line") <= F.col("start_line"))).select("id", "path", "start_line")
+    lines = texts.join(short.select("path").distinct(), "path", "left_semi").select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    opens = F.col("line").contains("{") & ~F.col("line").contains("}")
+    return lines.where(opens).select("path", (F.col("n") + 1).alias("start_line")).join(short, ["path", "start_line"]).select("id")
