@@ -59,7 +59,7 @@ ORACLE = {
       select id as chunk_id, md5(arg_max(content, (updated_at, content))) as content, true as within from sized where tokens > max_tokens group by id""",
     "p8_checks": "select capacity_id, (select count(*) from documents where text <> '') as texts, 0 as overfull, 0 as split_needlessly from pack_capacities",
     "p9_checks": """select source, cast(max_repeats as bigint) as max_repeats, 0 as over_cap, false as far_off from mix_targets
-      where source in (select regexp_replace(lower(trim(source)), '[ \-]+', '_', 'g') from documents where text <> '')""",
+      where source in (select regexp_replace(lower(trim(source)), '[- ]+', '_', 'g') from documents where text <> '')""",
     "p10_counts": "select doc_id, false as unsound from documents",
     "p7_found": f"with {FAULTS} select thread_db_id, reason from faults where reason is not null",
 }
