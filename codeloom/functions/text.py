@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff"
@@ -187,14 +189,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|(?<=[。！？；])"), F.trim), lambda s: s != "")
 
 
+#: What makes a text one about logins, what makes it one about mail, and by what a provider is told, in order.
+LOGIN_CONTEXT = "oauth|authorize|access_token|response_type=code|redirect_uri|social|third-party|third party|第三方登录|/api/v5/user"
+MAIL_CONTEXT = r"@email|\b[\w.\-]+@qq\.com\b"
+PROVIDERS = (("gitee", "Gitee"), ("github.com", "GitHub"), ("weibo", "Weibo"), ("graph.qq.com", "QQ"), ("connect.qq.com", "QQ"), ("wechat", "WeChat"), ("weixin", "WeChat"))
+
+
 def provider(text: Column) -> Column:
     """The login provider that a text is about, null without login context or in an e-mail context."""
     low = F.lower(text)
-    context = low.rlike("oauth|authorize|access_token|response_type=code|redirect_uri|social|third-party|third party|第三方登录|/api/v5/user")
-    mail = low.contains("@email") | low.rlike(r"\b[\w.\-]+@qq\.com\b")
-    hints = [("gitee", "Gitee"), ("github.com", "GitHub"), ("weibo", "Weibo"), ("graph.qq.com", "QQ"), ("connect.qq.com", "QQ"), ("wechat", "WeChat"), ("weixin", "WeChat")]
-    found = F.coalesce(*[F.when(low.contains(hint), F.lit(name)) for hint, name in hints])
-    return F.when(context & ~mail, found)
+    found = F.coalesce(*[F.when(low.contains(hint), F.lit(name)) for hint, name in PROVIDERS])
+    return F.when(low.rlike(LOGIN_CONTEXT) & ~low.rlike(MAIL_CONTEXT), found)
+
+
+def provider_of(text: str) -> str | None:
+    """``provider`` of one text at hand, for the extractors."""
+    low = text.lower()
+    if not re.search(LOGIN_CONTEXT, low) or re.search(MAIL_CONTEXT, low):
+        return None
+    return next((name for hint, name in PROVIDERS if hint in low), None)
 
 
 def metadata_string(json: Column, path: str) -> Column:

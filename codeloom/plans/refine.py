@@ -95,7 +95,9 @@ def refine(spark: SparkSession, root: str, project: str, model: str = "hash", di
 
 
 def _built(files: DataFrame, facts: DataFrame, project: str, vectors: DataFrame | None, model: str, dim: int, provider: Callable | None) -> dict[str, DataFrame]:
-    out = {"files": files, "facts": facts, **tables(cut(normalised(facts)), project)}
+    named = extract.resource_facts(files, workspace.resources(workspace.settings(files)))
+    told = extract.resolved_publishes(facts, cut(workspace.constants(files))).unionByName(named.select(*extract.COLUMNS))
+    out = {"files": files, "facts": facts, **tables(cut(normalised(told)), project)}
     solved = store.resolved(out["refs"], out["symbols"])
     linked = out["refs"].join(solved.select("ref_id", "target_id"), "ref_id").where("source_id is not null").select("source_id", "target_id", F.col("reference_kind").alias("kind"), "line", F.lit("resolver").alias("path"), F.lit('{"confidence": 0.85}').alias("metadata"))
     out["edges"] = cut(store.merge(out["edges"], store.first_wins(linked, ["source_id", "target_id", "kind", "line"], ["path"]), ["source_id", "target_id", "kind", "line"], update=False))

@@ -15,9 +15,12 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.annotations import primary, split_top, values_of
+from codeloom.functions.hints import string_value
+from codeloom.functions.text import provider_of
+from codeloom.sources.workspace import masked_settings
 
 COLUMNS = ["path", "record", "kind", "name", "qualified_name", "start_line", "end_line", "source", "target", "signature", "content", "metadata"]
 SCHEMA = "path string, record string, kind string, name string, qualified_name string, start_line int, end_line int, source string, target string, signature string, content string, metadata string"
@@ -190,7 +193,10 @@ def java_facts(path: str, text: str, service: str | None) -> Facts:
         if any(a[2] == "Bean" for a in marks):
             facts.symbol("bean", m[2], qualified, facts.line(m.start(2)), owner=symbol, bean=m[2])
         _member_semantics(facts, marks, symbol, service)
-    for m in _FIELD.finditer(code):
+    bare = list(code)
+    for start, end, *_ in annotations:
+        bare[start:end] = [c if c == "\n" else " " for c in code[start:end]]
+    for m in _FIELD.finditer("".join(bare)):
         owner = owner_of(m.start(3))
         if owner is None or any(b < m.start(3) < e for b, e, *_ in members):
             continue
@@ -210,8 +216,87 @@ def java_facts(path: str, text: str, service: str | None) -> Facts:
         for m in SENDERS.finditer(inside):
             at = body + m.end() - 1
             arguments = split_top(text[at + 1 : rounds.get(at, at)])
-            if arguments and service and (topic := re.fullmatch(r'"([^"]+)"', arguments[0])):
-                _published(facts, topic[1], service, facts.line(at), "rocket" in m[1].lower())
+            if arguments and service:
+                _sent(facts, m[1].lower(), m[2], arguments, text[body:end], service, facts.line(at))
+    if service:
+        for m in REDIS.finditer(text):
+            kind = "writes_cache" if ".set(" in m[0] else "reads_cache"
+            _cached(facts, m[1], kind, f"service:{service}", facts.line(m.start()), service)
+    _value_logins(facts, text, service)
+    _logins(facts, text, service)
+    return facts
+
+
+#: A key given to a Redis template as a literal.
+REDIS = re.compile(r'\b\w*[rR]edisTemplate\.[\w().]+\(\s*"([^"\n]+)"')
+_LOCAL_STRING = r"\b{}\s*=\s*([^=;\n][^;\n]*);"
+
+
+def _sent(facts: Facts, sender: str, method: str, arguments: list[str], body: str, service: str, line: int) -> None:
+    """A message sent: to an exchange with its routing key, else to a topic; what local assignments say of the destination is
+    put in, and what only constants of other files tell is left to ``resolved_publishes`` as a ``publish`` row."""
+    def meant(expression: str) -> list[str]:
+        given = re.findall(_LOCAL_STRING.format(re.escape(expression)), body) if re.fullmatch(r"[A-Za-z_]\w*", expression) else []
+        return list(dict.fromkeys(g.strip() for g in given)) or [expression]
+
+    exchange = "rabbit" in sender and method == "convertAndSend" and len(arguments) >= 3
+    tagged = "rocket" in sender
+    for first in meant(arguments[0].strip()):
+        for second in meant(arguments[1].strip()) if exchange else [""]:
+            parts = [first, second] if exchange else [first]
+            told = [re.fullmatch(r'"([^"]+)"', p) for p in parts]
+            if all(told):
+                _published(facts, ":".join(t[1] for t in told), service, line, tagged, exchange)
+            else:
+                facts.add("publish", "mq_exchange" if exchange else "mq_topic", name=" + \":\" + ".join(parts), source=f"service:{service}", start=line, tagged=tagged or None)
+
+
+def _cached(facts: Facts, key: str, kind: str, source: str, line: int, service: str | None) -> None:
+    facts.symbol("cache_key", key, f"cache_key:{key}", line, cache_key=key)
+    facts.edge(kind, source, f"cache_key:{key}", line)
+    facts.chunk("redis_cache_flow", key, f"Cache: {key}\nAccess: {kind}\nService: {service or ''}\nSource: {facts.path}:{line}", line, line, cache_key=key)
+
+
+def _logs_in(facts: Facts, provider: str, service: str | None, line: int, title: str, lines: list[str], **metadata) -> None:
+    facts.symbol("oauth_provider", provider, f"oauth_provider:{provider}", line, provider=provider)
+    facts.edge("uses_oauth_provider", f"service:{service or 'unknown-service'}", f"oauth_provider:{provider}", line, **metadata)
+    text = [f"Service: {service or ''}", f"Provider: {provider}", f"Source: {facts.path}:{line}", *lines]
+    facts.chunk("third_party_login", title, _masked("\n".join(text)), line, line, provider=provider)
+
+
+def _logins(facts: Facts, text: str, service: str | None) -> None:
+    """Lines about a login at a provider; a QQ link that leads nowhere is none."""
+    for number, line in enumerate(text.splitlines(), 1):
+        found = provider_of(line)
+        if found and not (found == "QQ" and 'href="#"' in line and "oauth" not in line.lower()):
+            _logs_in(facts, found, service, number, f"Third-party login {found}", [f"Evidence: {line.strip()}"], evidence=_masked(line.strip())[:300])
+
+
+def _value_logins(facts: Facts, text: str, service: str | None) -> None:
+    for m in re.finditer(r'@Value\(\s*"\$\{([^}:]+)(?::[^}]*)?\}"\s*\)', text):
+        if "oauth" in m[1].lower():
+            _logs_in(facts, provider_of(m[1]) or "OAuth2", service, facts.line(m.start()), f"OAuth config {m[1]}", [f"Config key: {m[1]}"], config_key=m[1])
+
+
+def config_facts(path: str, text: str, service: str | None) -> Facts:
+    """The settings file itself with a chunk of its masked settings, and the login providers that its keys name."""
+    facts, values = Facts(path, text), masked_settings(path, text)
+    if "!error" in values:
+        raise ValueError(values["!error"])
+    last = len(text.splitlines()) or 1
+    facts.symbol("config", path.rsplit("/", 1)[-1], f"config:{path}", 1, last, service=service)
+    facts.chunk("spring_config", f"Spring config {path}", "\n".join([f"Service: {service or ''}", f"Config file: {path}", "Properties:", *(f"{k}={v}" for k, v in sorted(values.items()))]), 1, last, keys=sorted(values))
+    for key, value in values.items():
+        if any(w in key.lower() for w in ("oauth", "client.id", "redirect_uri")):
+            last_part = key.rsplit(".", 1)[-1]
+            line = next((i for i, row in enumerate(text.splitlines(), 1) if key in row or re.match(rf"\s*{re.escape(last_part)}\s*:", row)), 1)
+            _logs_in(facts, provider_of(f"{key} {value}") or "OAuth2", service, line, f"OAuth config {key}", [f"Config key: {key}"], config_key=key)
+    return facts
+
+
+def html_facts(path: str, text: str, service: str | None) -> Facts:
+    facts = Facts(path, text)
+    _logins(facts, text, service)
     return facts
 
 
@@ -243,10 +328,13 @@ def _routes(facts: Facts, marks: list, owner: tuple, symbol: str, qualified: str
                 facts.edge("maps_route", target, symbol, facts.line(start))
 
 
-def _published(facts: Facts, destination: str, service: str, line: int, tagged: bool) -> None:
+def _published(facts: Facts, destination: str, service: str, line: int, tagged: bool, exchange: bool = False) -> None:
+    kind = "mq_exchange" if exchange else "mq_topic"
     topic, sign, tag = destination.partition(":")
-    facts.symbol("mq_topic", topic if tagged else destination, f"mq_topic:{topic if tagged else destination}", line, topic=topic if tagged else destination)
-    facts.edge("publishes", f"service:{service}", f"mq_topic:{topic if tagged else destination}", line)
+    name = topic if tagged else destination
+    facts.symbol(kind, name, f"{kind}:{name}", line, topic=name)
+    facts.edge("publishes", f"service:{service}", f"{kind}:{name}", line)
+    facts.chunk("mq_flow", name, f"Message: {name}\nDirection: publishes\nService: {service}\nSource: {facts.path}:{line}", line, line, destination=destination)
     if tagged and sign:
         facts.symbol("mq_tag", tag, f"mq_tag:{topic}:{tag}", line, topic=topic, tag=tag)
 
@@ -289,6 +377,7 @@ def _listens(facts: Facts, name: str, values: dict, line: int, service: str | No
         if isinstance(destination, str) and destination and service:
             facts.symbol(kind, destination, f"{kind}:{destination}", line)
             facts.edge("consumes", f"service:{service}", f"{kind}:{destination}", line)
+            facts.chunk("mq_flow", destination, f"Message: {destination}\nDirection: consumes\nService: {service}\nSource: {facts.path}:{line}", line, line, destination=destination)
 
 
 def _member_semantics(facts: Facts, marks: list, symbol: str, service: str | None) -> None:
@@ -297,8 +386,7 @@ def _member_semantics(facts: Facts, marks: list, symbol: str, service: str | Non
         if name in LISTENERS:
             _listens(facts, name, values, line, service)
         elif name in CACHES and (key := primary(values) or (values.get("cacheNames") if isinstance(values.get("cacheNames"), str) else None)):
-            facts.symbol("cache_key", key, f"cache_key:{key}", line, cache_key=key)
-            facts.edge(CACHES[name], f"service:{service}" if service else symbol, f"cache_key:{key}", line)
+            _cached(facts, key, CACHES[name], f"service:{service}" if service else symbol, line, service)
         elif name in GUARDS and (rule := primary(values)):
             facts.symbol("permission_rule", rule, f"permission_rule:{rule}", line, permission=rule, rule_kind=name)
             facts.edge("requires_permission", symbol, f"permission_rule:{rule}", line)
@@ -449,16 +537,18 @@ def file_facts(path: str, language: str, text: str | None, service: str | None)
     try:
         if text is None:
             raise ValueError("no text")
-        if "\x00" in text[:4096]:
+        if "\x00" in text:
             raise ValueError("binary or protected file")
-        if language == "java":
-            return java_facts(path, text, service).rows
-        if language == "mybatis_xml":
-            return mybatis_facts(path, text).rows
-        if language == "sql":
-            return ddl_facts(path, text).rows
-        if language == "markdown":
-            return markdown_facts(path, text).rows
+        readers = {
+            "java": lambda: java_facts(path, text, service), "mybatis_xml": lambda: mybatis_facts(path, text), "sql": lambda: ddl_facts(path, text), "markdown": lambda: markdown_facts(path, text),
+            "config": lambda: config_facts(path, text, service), "html": lambda: html_facts(path, text, service),
+        }
+        if language in readers:
+            found = readers[language]()
+            if language != "markdown":
+                named = service or "unknown-service"
+                found.symbol("service", named, f"service:{named}", 1, service=named)
+            return found.rows
         return []
     except Exception as error:  # noqa: BLE001
         return [(path, "error", language, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500], None)]
@@ -476,3 +566,33 @@ def facts(files: DataFrame) -> DataFrame:
             yield out
 
     return files.select("path", "language", "text", "service_name").mapInPandas(run, SCHEMA)
+
+
+def resolved_publishes(facts: DataFrame, constants: DataFrame) -> DataFrame:
+    """The facts with every ``publish`` row turned into its destination's symbol and edge, as constants (alias, value) tell it.
+
+    An expression that they do not tell stays as it is written, as the name of a destination.
+    """
+    rows = facts.where("record = 'publish'")
+    values = string_value(rows.select("path", F.col("name").alias("expression")), constants, "path")
+    told = rows.withColumnRenamed("name", "expression").join(values, ["path", "expression"])
+    tagged = F.coalesce(F.get_json_object("metadata", "$.tagged") == "true", F.lit(False)) & (F.col("kind") == "mq_topic")
+    name = F.when(tagged, F.substring_index("value", ":", 1)).otherwise(F.col("value"))
+    none = F.lit(None).cast("string")
+    base = told.select("path", "kind", "start_line", "source", name.alias("name"), F.concat_ws(":", "kind", name).alias("key"))
+    symbols = base.select("path", F.lit("symbol").alias("record"), "kind", "name", F.col("key").alias("qualified_name"), "start_line", F.col("start_line").alias("end_line"), F.lit("").alias("source"), F.lit("").alias("target"), F.lit("").alias("signature"), F.lit("").alias("content"), F.to_json(F.struct(F.col("name").alias("topic"))).alias("metadata"))
+    edges = base.select("path", F.lit("edge").alias("record"), F.lit("publishes").alias("kind"), F.lit("").alias("name"), F.lit("").alias("qualified_name"), "start_line", none.cast("int").alias("end_line"), "source", F.col("key").alias("target"), F.lit("").alias("signature"), F.lit("").alias("content"), F.lit('{"confidence": 1.0}').alias("metadata"))
+    return facts.where("record <> 'publish'").select(*COLUMNS).unionByName(symbols.select(*COLUMNS)).unionByName(edges.select(*COLUMNS))
+
+
+def resource_facts(files: DataFrame, resources: DataFrame) -> DataFrame:
+    """Resource symbols and ``uses_resource`` edges of the services whose settings name them.
+
+    ``files``: path, service_name; ``resources``: path, resource_type, normalized_name.
+    """
+    rows = resources.join(files.select("path", F.coalesce("service_name", F.lit("unknown-service")).alias("service")), "path")
+    key = F.concat_ws(":", F.lit("resource"), "resource_type", "normalized_name")
+    blank, one = F.lit(""), F.lit(1)
+    symbols = rows.select("path", F.lit("symbol").alias("record"), F.lit("resource").alias("kind"), F.col("normalized_name").alias("name"), key.alias("qualified_name"), one.alias("start_line"), one.alias("end_line"), blank.alias("source"), blank.alias("target"), blank.alias("signature"), blank.alias("content"), F.to_json(F.struct("resource_type")).alias("metadata"))
+    edges = rows.select("path", F.lit("edge").alias("record"), F.lit("uses_resource").alias("kind"), blank.alias("name"), blank.alias("qualified_name"), one.alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.concat(F.lit("service:"), "service").alias("source"), key.alias("target"), blank.alias("signature"), blank.alias("content"), F.lit('{"confidence": 1.0}').alias("metadata"))
+    return symbols.unionByName(edges)

@@ -92,43 +92,45 @@ def with_services(files: DataFrame) -> DataFrame:
     return files.join(chosen, "module_name", "left").withColumn("service_name", F.when(F.col("language") != "markdown", F.coalesce("service", "module_name"))).drop("service")
 
 
-def settings(files: DataFrame) -> DataFrame:
-    """(path, key, value) of properties and YAML files, keys of nested maps joined by dots, secrets masked; lists as JSON.
+def masked_settings(path: str, text: str | None) -> dict[str, str]:
+    """The settings of one properties or YAML file by dotted key, secrets masked; ``!error`` if it cannot be parsed."""
+    import json
 
-    Files that cannot be parsed give one row with key ``!error``.
-    """
-    from codeloom.functions.text import SECRET_KEY
+    import yaml
 
-    secret = re.compile(SECRET_KEY)
+    from codeloom.functions.text import SECRET_KEY
 
-    def parse(batches):
-        import json
+    values: dict[str, str] = {}
+
+    def flatten(data: object, prefix: str) -> None:
+        if isinstance(data, dict):
+            for key, value in data.items():
+                flatten(value, f"{prefix}.{key}" if prefix else str(key))
+        else:
+            values[prefix] = data if isinstance(data, str) else json.dumps(data, ensure_ascii=False, default=str)
+
+    try:
+        if path.endswith(".properties"):
+            for line in (text or "").splitlines():
+                key, sign, value = line.strip().partition("=")
+                if sign and not key.startswith("#"):
+                    values[key.strip()] = value.strip()
+        else:
+            for document in yaml.safe_load_all(text or ""):
+                flatten(document or {}, "")
+    except yaml.YAMLError as error:
+        values = {"!error": str(error).splitlines()[0]}
+    return {k: "<redacted>" if re.search(SECRET_KEY, k) else v for k, v in values.items() if k}
 
-        import yaml
 
-        def flatten(data: object, prefix: str, out: dict[str, str]) -> None:
-            if isinstance(data, dict):
-                for key, value in data.items():
-                    flatten(value, f"{prefix}.{key}" if prefix else str(key), out)
-            else:
-                out[prefix] = data if isinstance(data, str) else json.dumps(data, ensure_ascii=False, default=str)
+def settings(files: DataFrame) -> DataFrame:
+    """(path, key, value) of properties and YAML files, keys of nested maps joined by dots, secrets masked; lists as JSON.
 
+    Files that cannot be parsed give one row with key ``!error``.
+    """
+    def parse(batches):
         for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"]):
-                values: dict[str, str] = {}
-                try:
-                    if path.endswith(".properties"):
-                        for line in (text or "").splitlines():
-                            key, sign, value = line.strip().partition("=")
-                            if sign and not key.startswith("#"):
-                                values[key.strip()] = value.strip()
-                    else:
-                        for document in yaml.safe_load_all(text or ""):
-                            flatten(document or {}, "", values)
-                except yaml.YAMLError as error:
-                    values = {"!error": str(error).splitlines()[0]}
-                rows += [(path, k, "<redacted>" if secret.search(k) else v) for k, v in values.items() if k]
+            rows = [(path, k, v) for path, text in zip(batch["path"], batch["text"]) for k, v in masked_settings(path, text).items()]
             yield pd.DataFrame(rows, columns=["path", "key", "value"])
 
     return files.where("language = 'config'").select("path", "text").mapInPandas(parse, "path string, key string, value string")

@@ -170,6 +170,8 @@ def _of(pattern: str) -> str:
 
 _READS = f"list_filter(list_concat({_of('from')}, {_of('join')}), lambda x: lower(x) <> 'select')"
 ORACLE = {
+    "sentence_counts": r"""select doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?;]) +', '\1' || chr(10), 'g'), '([。！？；])', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '')) as n
+      from documents where text is not null""",
     "camel_snake": f"with {_S} select id, {_SNAKE.format('name')} as snake, {_SNAKE.format('name')} as table_name from s",
     "stable_ids": f"with {_S} select id, kind || ':' || sha256(concat_ws(':', project_id, file_id, kind, qualified_name, start_line))[1:32] as made from s",
     "sql_tables": f"""select doc_id, array_to_string({_keep_first(_READS)}, ',') as reads, array_to_string({_keep_first(_of('insert' + chr(92) + 's+into'))}, ',') as inserts,

@@ -97,7 +97,8 @@ def test_markdown_sections_and_children():
 
 def test_odd_files_give_rows_not_failures():
     assert rows(None)[0]["record"] == "error" and rows("\x00\x01")[0]["record"] == "error"
-    assert [r["kind"] for r in rows("")] == ["file"]
+    assert [r["kind"] for r in rows("")] == ["file", "service"]
+    assert [r["name"] for r in rows("", service=None) if r["kind"] == "service"] == ["unknown-service"]
     assert rows("class A { void b() { " + "x();" * 20000)[0]["kind"] == "file"
 
 
@@ -128,3 +129,21 @@ def test_workspace_scan(spark, tmp_path):
 
 def test_hints():
     assert workspace.hints("- job => xxlJob, not batch\n订单：order、orders\n") == {"job": ["xxlJob", "not batch"], "订单": ["order", "orders"]}
+
+
+def test_settings_logins_and_pages():
+    yml = "spring:\n  oauth:\n    gitee:\n      authorize-url: https://gitee.com/oauth/authorize\n      client-secret: abc\n"
+    found = rows(yml, "config")
+    assert names(found, "symbol", "config") == ["config:a/F.config"] and set(names(found, "symbol", "oauth_provider")) >= {"oauth_provider:Gitee"}
+    assert "abc" not in "".join(r["content"] for r in found) and {r["target"] for r in found if r["kind"] == "uses_oauth_provider"} >= {"oauth_provider:Gitee"}
+    page = rows('<a href="https://github.com/login/oauth/authorize">x</a>\n<a href="#">social weixin</a>\n<p>plain</p>', "html")
+    assert [(r["name"], r["start_line"]) for r in page if r["record"] == "symbol" and r["kind"] == "oauth_provider"] == [("GitHub", 1), ("WeChat", 2)]
+    assert rows("a: [1", "config")[0]["record"] == "error" and rows("x" * 5000 + "\x00")[0]["record"] == "error"
+
+
+def test_destinations_from_constants_of_other_files(spark):
+    text = 'package a;\nclass S { void m() { rabbitTemplate.convertAndSend("ex", Keys.RK, x); rocketMQTemplate.syncSend(Keys.T + ":go", y); kafkaTemplate.send(unknown, z); } }'
+    facts = spark.createDataFrame([extract_row for extract_row in extract.file_facts("a/S.java", "java", text, "shop")], extract.SCHEMA)
+    constants = spark.createDataFrame([("Keys.RK", "rk"), ("Keys.T", "topic"), ("RK", "rk")], "alias string, value string")
+    out = extract.resolved_publishes(facts, constants).where("kind = 'publishes'")
+    assert {r.target for r in out.collect()} == {"mq_exchange:ex:rk", "mq_topic:topic", "mq_topic:unknown"}
