@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from codeloom.operators.graph import top_edges
 
 #: Kinds that are artifacts of their own name, and those under another one.
-DIRECT = tuple("bean cache_key class config constructor data_contract db_column db_table enum interface mapper mq_exchange mq_queue mq_tag mq_topic oauth_provider permission_rule remote_service resource service sql_statement".split())
+DIRECT = ("bean", "cache_key", "class", "config", "constructor", "data_contract", "db_column", "db_table", "enum", "interface", "mapper", "mq_exchange", "mq_queue", "mq_tag", "mq_topic", "oauth_provider", "permission_rule", "remote_service", "resource", "service", "sql_statement")
 STRUCTURAL = ("file", "import", "package")
 SUMMARISED = ("annotation_usage", "field", "method", "parameter")
 JOB_MARKS = ("XxlJob", "Scheduled")

@@ -11,8 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.operators import store
+from codeloom.operators.ranking import first_terms
 from codeloom.session import cut
 
+#: Terms that targets are looked for by at most; more are reported by a warning.
+MOST_TARGETS = 8
+
 
 def latest(rows: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
     """One row per key, the one with the greatest ``order`` (nulls first); all columns kept, unread ones pruned at the scan."""
@@ -106,9 +110,10 @@ def target_rank(symbols: DataFrame, terms: list[str], table_kinds: tuple[str, ..
 
 
 def targets(symbols: DataFrame, files: DataFrame, terms: list[str]) -> DataFrame:
-    """The symbols that up to eight terms may mean, with ``priority`` (see target_rank) and the path of their file."""
+    """The symbols that the first ``MOST_TARGETS`` terms may mean, with ``priority`` (see target_rank) and the path of their file."""
+    terms = first_terms(terms, MOST_TARGETS)
     rows = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    return rows.where(contains_any(["name", "qualified_name", "path"], terms[:8])).withColumn("priority", target_rank(rows, terms[:8]))
+    return rows.where(contains_any(["name", "qualified_name", "path"], terms)).withColumn("priority", target_rank(rows, terms))
 
 
 def trace(edges: DataFrame, found: DataFrame, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:

@@ -6,12 +6,24 @@ Question terms are few and known to the driver, so they enter plans as literals;
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Terms that an aggregation ranks by, and that a module is resolved by, at most; more are reported by a warning.
+MOST_RANKED_TERMS, MOST_MODULE_TERMS = 40, 16
+
+
+def first_terms(terms: list[str], most: int) -> list[str]:
+    """The first ``most`` terms; what is left out is told by a warning."""
+    if len(terms) > most:
+        warnings.warn(f"{len(terms) - most} of {len(terms)} terms are not used: {terms[most:most + 5]}", stacklevel=3)
+    return terms[:most]
+
+
 @dataclass(frozen=True)
 class Dimension:
     """One way to aggregate symbols: which kinds, where their label comes from, which annotations, and how many at most."""
@@ -25,57 +37,47 @@ class Dimension:
     aliases: tuple[str, ...] = ()
 
 
-_MAPPINGS = ("RequestMapping", "GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping")
-#: Dimension | kinds | label paths | annotations | evidence type | most rows | aliases.
-_TABLE = """
-table|db_table data_contract|table||table_usage|1000|tables table_name db_table
-data_contract|data_contract|table name||data_contract_entry|1000|data_contracts entity_contract
-database_column|db_column|column name||database_column_entry|1000|database_columns db_column db_columns column columns
-sql_statement|sql_statement|id statement_id operation||sql_statement_entry|1000|sql_statements sql_operation sql_operations db_operation db_operations sql
-mapper|mapper interface|||mapper_entry|1000|mappers mybatis
-job|annotation_usage|values.value|XxlJob|job_entrypoint|1000|jobs job_name xxljob scheduled_job scheduled_task scheduler task 任务 定时任务 调度任务
-api|route annotation_usage|path values.value values.path|*|api_entrypoint|1000|apis http endpoint endpoints
-route|route|path values.value values.path||route_entry|1000|routes http_route http_routes
-controller|route annotation_usage|target_qualified_name path values.value|Controller RestController RequestMapping|controller_entry|1000|controllers rest_controller handler
-module|file class interface route db_table|module_name service_name||module_artifact|1000|modules
-service|service|service_name module_name||service_entry|1000|services spring_service spring_services
-remote_service|remote_service|service service_name module_name||remote_service_entry|1000|remote_services downstream_service downstream_services feign_service feign_services
-class|class|||class_entry|1000|classes type types
-interface|interface|||interface_entry|1000|interfaces java_interface java_interfaces
-method|method|||method_entry|1000|methods function functions
-constructor|constructor|||constructor_entry|500|constructors
-field|field|values.value type||field_entry|1000|fields java_field java_fields
-parameter|parameter|values.value type||parameter_entry|1000|parameters param params argument arguments
-annotation|annotation_usage|annotation values.value||annotation_entry|1000|annotations decorator decorators
-annotation_usage|annotation_usage|annotation values.value||annotation_usage_entry|1000|annotation_usages raw_annotation raw_annotations
-config|config|key name||config_entry|1000|configs configuration property properties
-bean|bean|bean class||bean_entry|1000|beans spring_bean spring_beans
-enum|enum|||enum_entry|1000|enums enumeration enumerations
-package|package|||package_entry|500|packages java_package java_packages
-import|import|||import_entry|300|imports java_import java_imports
-cache_key|cache_key|cache_key key name||cache_key_entry|300|cache_keys redis_key redis_keys
-mq_topic|mq_topic|topic name||mq_topic_entry|300|mq_topics message_topic message_topics kafka_topic kafka_topics topic topics
-mq_tag|mq_tag|tag topic name||mq_tag_entry|300|mq_tags message_tag message_tags rocket_tag rocket_tags tag tags
-mq_queue|mq_queue|queue name||mq_queue_entry|300|mq_queues message_queue message_queues queue queues
-mq_exchange|mq_exchange|exchange name||mq_exchange_entry|300|mq_exchanges message_exchange message_exchanges exchange exchanges
-permission_rule|permission_rule|permission rule_kind name||permission_rule_entry|1000|permission_rules permission permissions auth_rule auth_rules
-oauth_provider|oauth_provider|provider name||oauth_provider_entry|300|oauth_providers oauth auth_provider auth_providers
-resource|resource|normalized_name resource_type name||resource_entry|300|resources external_resource external_resources
-file|file|||file_entry|1000|files source_file source_files
-artifact|class interface method annotation_usage config|||artifact_match|1000|artifacts symbol symbols
-"""
-
-
-def _dimensions() -> dict[str, Dimension]:
-    out = {}
-    for line in _TABLE.strip().splitlines():
-        name, kinds, labels, annotations, evidence, most, aliases = line.split("|")
-        marks = _MAPPINGS if annotations == "*" else tuple(annotations.split())
-        out[name] = Dimension(name, tuple(kinds.split()), tuple(labels.split()), marks, evidence, int(most), tuple(aliases.split()))
-    return out
-
-
-DIMENSIONS = _dimensions()
+#: The annotations of HTTP mappings.
+MAPPINGS = ("RequestMapping", "GetMapping", "PostMapping", "PutMapping", "DeleteMapping", "PatchMapping")
+#: The dimensions that symbols can be aggregated by.
+DIMENSION_ROWS = [
+    Dimension("table", ("db_table", "data_contract"), labels=("table",), evidence_type="table_usage", aliases=("tables", "table_name", "db_table")),
+    Dimension("data_contract", ("data_contract",), labels=("table", "name"), evidence_type="data_contract_entry", aliases=("data_contracts", "entity_contract")),
+    Dimension("database_column", ("db_column",), labels=("column", "name"), evidence_type="database_column_entry", aliases=("database_columns", "db_column", "db_columns", "column", "columns")),
+    Dimension("sql_statement", ("sql_statement",), labels=("id", "statement_id", "operation"), evidence_type="sql_statement_entry", aliases=("sql_statements", "sql_operation", "sql_operations", "db_operation", "db_operations", "sql")),
+    Dimension("mapper", ("mapper", "interface"), evidence_type="mapper_entry", aliases=("mappers", "mybatis")),
+    Dimension("job", ("annotation_usage",), labels=("values.value",), annotations=("XxlJob",), evidence_type="job_entrypoint", aliases=("jobs", "job_name", "xxljob", "scheduled_job", "scheduled_task", "scheduler", "task", "任务", "定时任务", "调度任务")),
+    Dimension("api", ("route", "annotation_usage"), labels=("path", "values.value", "values.path"), annotations=MAPPINGS, evidence_type="api_entrypoint", aliases=("apis", "http", "endpoint", "endpoints")),
+    Dimension("route", ("route",), labels=("path", "values.value", "values.path"), evidence_type="route_entry", aliases=("routes", "http_route", "http_routes")),
+    Dimension("controller", ("route", "annotation_usage"), labels=("target_qualified_name", "path", "values.value"), annotations=("Controller", "RestController", "RequestMapping"), evidence_type="controller_entry", aliases=("controllers", "rest_controller", "handler")),
+    Dimension("module", ("file", "class", "interface", "route", "db_table"), labels=("module_name", "service_name"), evidence_type="module_artifact", aliases=("modules",)),
+    Dimension("service", ("service",), labels=("service_name", "module_name"), evidence_type="service_entry", aliases=("services", "spring_service", "spring_services")),
+    Dimension("remote_service", ("remote_service",), labels=("service", "service_name", "module_name"), evidence_type="remote_service_entry", aliases=("remote_services", "downstream_service", "downstream_services", "feign_service", "feign_services")),
+    Dimension("class", ("class",), evidence_type="class_entry", aliases=("classes", "type", "types")),
+    Dimension("interface", ("interface",), evidence_type="interface_entry", aliases=("interfaces", "java_interface", "java_interfaces")),
+    Dimension("method", ("method",), evidence_type="method_entry", aliases=("methods", "function", "functions")),
+    Dimension("constructor", ("constructor",), evidence_type="constructor_entry", most=500, aliases=("constructors",)),
+    Dimension("field", ("field",), labels=("values.value", "type"), evidence_type="field_entry", aliases=("fields", "java_field", "java_fields")),
+    Dimension("parameter", ("parameter",), labels=("values.value", "type"), evidence_type="parameter_entry", aliases=("parameters", "param", "params", "argument", "arguments")),
+    Dimension("annotation", ("annotation_usage",), labels=("annotation", "values.value"), evidence_type="annotation_entry", aliases=("annotations", "decorator", "decorators")),
+    Dimension("annotation_usage", ("annotation_usage",), labels=("annotation", "values.value"), evidence_type="annotation_usage_entry", aliases=("annotation_usages", "raw_annotation", "raw_annotations")),
+    Dimension("config", ("config",), labels=("key", "name"), evidence_type="config_entry", aliases=("configs", "configuration", "property", "properties")),
+    Dimension("bean", ("bean",), labels=("bean", "class"), evidence_type="bean_entry", aliases=("beans", "spring_bean", "spring_beans")),
+    Dimension("enum", ("enum",), evidence_type="enum_entry", aliases=("enums", "enumeration", "enumerations")),
+    Dimension("package", ("package",), evidence_type="package_entry", most=500, aliases=("packages", "java_package", "java_packages")),
+    Dimension("import", ("import",), evidence_type="import_entry", most=300, aliases=("imports", "java_import", "java_imports")),
+    Dimension("cache_key", ("cache_key",), labels=("cache_key", "key", "name"), evidence_type="cache_key_entry", most=300, aliases=("cache_keys", "redis_key", "redis_keys")),
+    Dimension("mq_topic", ("mq_topic",), labels=("topic", "name"), evidence_type="mq_topic_entry", most=300, aliases=("mq_topics", "message_topic", "message_topics", "kafka_topic", "kafka_topics", "topic", "topics")),
+    Dimension("mq_tag", ("mq_tag",), labels=("tag", "topic", "name"), evidence_type="mq_tag_entry", most=300, aliases=("mq_tags", "message_tag", "message_tags", "rocket_tag", "rocket_tags", "tag", "tags")),
+    Dimension("mq_queue", ("mq_queue",), labels=("queue", "name"), evidence_type="mq_queue_entry", most=300, aliases=("mq_queues", "message_queue", "message_queues", "queue", "queues")),
+    Dimension("mq_exchange", ("mq_exchange",), labels=("exchange", "name"), evidence_type="mq_exchange_entry", most=300, aliases=("mq_exchanges", "message_exchange", "message_exchanges", "exchange", "exchanges")),
+    Dimension("permission_rule", ("permission_rule",), labels=("permission", "rule_kind", "name"), evidence_type="permission_rule_entry", aliases=("permission_rules", "permission", "permissions", "auth_rule", "auth_rules")),
+    Dimension("oauth_provider", ("oauth_provider",), labels=("provider", "name"), evidence_type="oauth_provider_entry", most=300, aliases=("oauth_providers", "oauth", "auth_provider", "auth_providers")),
+    Dimension("resource", ("resource",), labels=("normalized_name", "resource_type", "name"), evidence_type="resource_entry", most=300, aliases=("resources", "external_resource", "external_resources")),
+    Dimension("file", ("file",), evidence_type="file_entry", aliases=("files", "source_file", "source_files")),
+    Dimension("artifact", ("class", "interface", "method", "annotation_usage", "config"), evidence_type="artifact_match", aliases=("artifacts", "symbol", "symbols")),
+]
+DIMENSIONS = {d.group_by: d for d in DIMENSION_ROWS}
 
 
 def dimension_of(group_by: str | None) -> Dimension | None:
@@ -128,7 +130,7 @@ def aggregated(rows: DataFrame, dimension: Dimension, terms: list[str], negative
     (label, path, start_line) counts. Only rows of the dimension's kinds reach the sort, which keeps ``limit`` rows.
     """
     weights = weights or {}
-    terms = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))[:40]
+    terms = first_terms(list(dict.fromkeys(t.strip().lower() for t in terms if t.strip())), MOST_RANKED_TERMS)
     any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     kept = rows.where(F.col("kind").isin(*dimension.kinds))
     if dimension.annotations:
@@ -178,7 +180,7 @@ def prioritised(terms: list[str]) -> list[str]:
 
 
 def module_scores(files: DataFrame, terms: list[str]) -> DataFrame:
-    """(module, score) of the distinct services, modules and path roots that the first sixteen terms point to."""
+    """(module, score) of the distinct services, modules and path roots that the first ``MOST_MODULE_TERMS`` terms point to."""
     names = files.select(F.explode(F.array("service_name", "module_name", F.substring_index(F.regexp_replace("path", r"\\", "/"), "/", 1))).alias("module")).where("module <> ''").distinct()
     low = F.lower("module")
 
@@ -188,7 +190,7 @@ def module_scores(files: DataFrame, terms: list[str]) -> DataFrame:
             return F.lit(0)
         return F.when(low == t, 100).when(low.startswith(t), 60).when(F.concat(F.lit("-"), low, F.lit("-")).contains(f"-{t}-"), 50).when(low.contains(t), 30).otherwise(0)
 
-    total = reduce(lambda a, b: a + b, [score(t) for t in prioritised(terms)[:16]], F.lit(0))
+    total = reduce(lambda a, b: a + b, [score(t) for t in first_terms(prioritised(terms), MOST_MODULE_TERMS)], F.lit(0))
     bonus = F.when(low.contains("-service") | low.contains("_service"), 5).otherwise(0)
     return names.withColumn("score", total).where("score > 0").select("module", (F.col("score") + bonus).alias("score"))
 

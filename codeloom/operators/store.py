@@ -99,7 +99,8 @@ def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``refs``: ref_id, project_id, reference_kind, reference_name. Calls ``owner.method`` go to the first method of that name
     whose owner ends with the given text, by (qualified_name, id); other calls to the only method of their name.
     ``instantiates`` goes to the only constructor of the class, else like a type: to the type of that qualified name (the
-    greatest id), else to the only type of that last segment. All joins are equalities on (project, last segment).
+    greatest id), else to the only type of that last segment. All joins are equalities on (project, last segment);
+    names are reduced to distinct ones and methods to one an owner before, so a popular name is no hot key.
     """
     tail = lambda c: F.substring_index(c, ".", -1)
     head = lambda c: F.expr(f"substring({c}, 1, length({c}) - length(substring_index({c}, '.', -1)) - 1)")
@@ -108,12 +109,13 @@ def resolved(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     methods = names.where("kind = 'method'").select("project_id", F.col("name").alias("last"), "id", "qualified_name", head("qualified_name").alias("owner"))
     only_method = methods.groupBy("project_id", "last").agg(F.count("*").alias("n"), F.min("id").alias("only_id")).where("n = 1").drop("n")
     calls = refs.where("reference_kind = 'calls'")
-    dotted = calls.where("contains(reference_name, '.')").withColumn("receiver", head("reference_name"))
+    dotted = calls.where("contains(reference_name, '.')").select("project_id", "reference_name", "last").distinct().withColumn("receiver", head("reference_name"))
+    owners = methods.groupBy("project_id", "last", "owner").agg(F.min(F.struct("qualified_name", "id")).alias("method"))
     by_owner = (
-        dotted.join(methods, ["project_id", "last"]).where(F.col("owner").endswith(F.col("receiver")))
-        .groupBy("ref_id").agg(F.min(F.struct("qualified_name", "id"))["id"].alias("owner_id"))
+        dotted.join(owners, ["project_id", "last"]).where(F.col("owner").endswith(F.col("receiver")))
+        .groupBy("project_id", "reference_name").agg(F.min("method")["id"].alias("owner_id"))
     )
-    called = calls.join(by_owner, "ref_id", "left").join(only_method, ["project_id", "last"], "left").select("ref_id", F.coalesce("owner_id", "only_id").alias("target_id"))
+    called = calls.join(by_owner, ["project_id", "reference_name"], "left").join(only_method, ["project_id", "last"], "left").select("ref_id", F.coalesce("owner_id", "only_id").alias("target_id"))
     constructors = names.where("kind = 'constructor'").select("project_id", F.col("name").alias("reference_name"), "id").groupBy("project_id", "reference_name").agg(F.count("*").alias("n"), F.min("id").alias("only_id")).where("n = 1").drop("n")
     types = names.where(F.col("kind").isin("class", "interface", "enum", "annotation"))
     exact = types.groupBy("project_id", F.col("qualified_name").alias("reference_name")).agg(F.max("id").alias("exact_id"))

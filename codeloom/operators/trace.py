@@ -9,8 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeloom.operators.ranking import first_terms
 from codeloom.session import cut
 
+#: Terms that entry points are looked for by at most.
+MOST_ENTRY_TERMS = 20
+
 CONTROL = r"\b(?:if|else|for|while|switch|catch|return|continue|break|throw)\b"
 MESSAGE = r"\b[A-Za-z_]\w*\.(?:send|syncSend|asyncSend|sendOneWay|convertAndSend|sendMessageInTransaction)\s*\("
 CALL = r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*\("
@@ -19,8 +23,9 @@ GENERIC_CALLS = ("get", "set", "add", "put", "size", "equals", "toString", "prin
 
 def entry_points(symbols: DataFrame, terms: list[str]) -> DataFrame:
     """(id, tier) of what a question may mean, only the best tier that has any: 0 jobs annotated with the term, 1 methods,
-    constructors and routes of exactly that name, 2 those whose qualified name holds it. Terms beyond twenty are ignored."""
-    lowered = [t.lower() for t in terms[:20]]
+    constructors and routes of exactly that name, 2 those whose qualified name holds it. Terms beyond
+    ``MOST_ENTRY_TERMS`` are left out with a warning."""
+    lowered = [t.lower() for t in first_terms(terms, MOST_ENTRY_TERMS)]
     any_of = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     job = (F.col("kind") == "annotation_usage") & any_of([F.lower("name") == f"@xxljob {t}" for t in lowered])
     callable_ = F.col("kind").isin("method", "constructor", "route")

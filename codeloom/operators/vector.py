@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions import text as tx
@@ -25,24 +30,22 @@ def hash_buckets(documents: DataFrame, key: str, text: str, dim: int) -> DataFra
     return signed.groupBy(key, F.col("b.bucket").alias("bucket")).agg(F.sum(F.col("b.sign") * F.col("n")).alias("value")).where("value <> 0")
 
 
-def normalised(buckets: DataFrame, key: str) -> DataFrame:
-    """(key, bucket, weight): buckets divided by the norm of their key."""
-    norms = buckets.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return buckets.join(norms, key).select(key, "bucket", (F.col("value") / F.col("norm")).alias("weight"))
+_RUN, _IS_CJK = re.compile(rf"[{tx.CJK}]+|(?:(?![{tx.CJK}])[\w\-./:])+"), re.compile(f"[{tx.CJK}]")
+
+
+@lru_cache(maxsize=65_536)
+def _hashed(token: str, dim: int) -> tuple[int, float]:
+    digest = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(digest[:4], "big") % dim, 1.0 if digest[4] % 2 == 0 else -1.0
 
 
 def embed_query(text: str, dim: int) -> dict[int, float]:
-    """The hash embedding of one question on the driver, as bucket and weight."""
-    import hashlib
-    import re
-
-    cjk, sums = r"㐀-䶿一-鿿豈-﫿", {}
-    for run in re.findall(rf"[{cjk}]+|(?:(?![{cjk}])[\w\-./:])+", text.lower()):
-        parts = [*run, *[run[i : i + 2] for i in range(len(run) - 1)]] if re.match(f"[{cjk}]", run) else [run]
-        for part in parts:
-            hashed = hashlib.sha256(part.encode()).digest()
-            bucket = int.from_bytes(hashed[:4], "big") % dim
-            sums[bucket] = sums.get(bucket, 0.0) + (1.0 if hashed[4] % 2 == 0 else -1.0)
+    """The hash embedding of one text as bucket and weight."""
+    sums: dict[int, float] = {}
+    for run in _RUN.findall(text.lower()):
+        for part in [*run, *[run[i : i + 2] for i in range(len(run) - 1)]] if _IS_CJK.match(run) else [run]:
+            bucket, sign = _hashed(part, dim)
+            sums[bucket] = sums.get(bucket, 0.0) + sign
     norm = sum(v * v for v in sums.values()) ** 0.5
     return {b: v / norm for b, v in sums.items() if v} if norm else {}
 
@@ -50,15 +53,21 @@ def embed_query(text: str, dim: int) -> dict[int, float]:
 def hash_topk(documents: DataFrame, key: str, text: str, question: str, k: int, dim: int = 1024) -> DataFrame:
     """(key, score) of the k texts most similar to a question by hash embedding; ties by key. Blank questions are an error.
 
-    The question's few weights are literals, so nothing is joined but the buckets with their norms.
+    Texts without a token have no row. Each text is embedded where it lies, in Arrow batches; only keys and scores are sorted.
     """
     if not question.strip():
         raise ValueError("the question is empty")
     weights = embed_query(question, dim)
-    buckets = hash_buckets(documents, key, text, dim)
-    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.expr("cast(map() as map<int,double>)")
-    weight = F.coalesce(F.try_element_at(table, F.col("bucket")), F.lit(0.0))
-    scored = buckets.groupBy(key).agg((F.sum(F.col("value") * weight) / F.sqrt(F.sum(F.col("value") * F.col("value")))).alias("score"))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out = []
+        for one in texts:
+            own = embed_query(one, dim) if one else {}
+            out.append(sum(w * weights.get(b, 0.0) for b, w in own.items()) if own else None)
+        return pd.Series(out, dtype="float64")
+
+    scored = documents.select(key, score(F.col(text)).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     return scored.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -26,22 +26,22 @@ class Intent:
 
 #: Intents in order of precedence with their tool, default filters and the terms that show them.
 INTENTS = [
-    Intent("persistence_location", "aggregate_query", {"group_by": "table_name"}, tuple("入库 存入 存到 存储 保存 写入 落库 持久化 插入 新增 persist persistence save insert write store storage repository dao".split())),
-    Intent("table_usage", "aggregate_query", {"group_by": "table_name"}, tuple("表 数据库 数据表 用到了哪些表 table mapper entity sql db_table".split())),
-    Intent("api_entrypoint", "artifact_search", {"kinds": ["route", "class", "method"]}, tuple("接口 路由 入口 api endpoint route controller mapping".split())),
-    Intent("execution_flow", "artifact_search", {}, (*"流程 链路 怎么执行 怎么处理 调用链 flow process execution".split(), "call chain")),
-    Intent("task_planning", "artifact_search", {}, (*"帮我规划 实现方案 改造方案 修改方案 需要改哪些 影响范围 基于现有 基于已有 怎么改 如何改 加字段 新增字段 新增功能 修改功能 plan implement change modify refactor".split(), "implementation plan", "impact scope", "add field", "add column")),
+    Intent("persistence_location", "aggregate_query", {"group_by": "table_name"}, ("入库", "存入", "存到", "存储", "保存", "写入", "落库", "持久化", "插入", "新增", "persist", "persistence", "save", "insert", "write", "store", "storage", "repository", "dao")),
+    Intent("table_usage", "aggregate_query", {"group_by": "table_name"}, ("表", "数据库", "数据表", "用到了哪些表", "table", "mapper", "entity", "sql", "db_table")),
+    Intent("api_entrypoint", "artifact_search", {"kinds": ["route", "class", "method"]}, ("接口", "路由", "入口", "api", "endpoint", "route", "controller", "mapping")),
+    Intent("execution_flow", "artifact_search", {}, ("流程", "链路", "怎么执行", "怎么处理", "调用链", "flow", "process", "execution", "call chain")),
+    Intent("task_planning", "artifact_search", {}, ("帮我规划", "实现方案", "改造方案", "修改方案", "需要改哪些", "影响范围", "基于现有", "基于已有", "怎么改", "如何改", "加字段", "新增字段", "新增功能", "修改功能", "plan", "implement", "change", "modify", "refactor", "implementation plan", "impact scope", "add field", "add column")),
 ]
 BY_NAME = {i.name: i for i in INTENTS}
 #: What a planning question says, alone or as an action on a scope.
-PLANNING = (*"帮我规划 规划一下 实现方案 改造方案 修改方案 需要改哪些 影响范围 基于现有 基于已有 怎么改 如何改 怎么实现 如何实现 plan".split(), "implementation plan", "impact scope")
-ACTIONS = tuple("新增 修改 改造 实现 接入 调整 扩展 加字段 新增字段 加列 新增列 建表 新增表 add change modify implement refactor extend".split())
-SCOPES = tuple("任务 需求 功能 字段 表 接口 方法 类 调用链 现有逻辑 project feature field table api method class".split())
+PLANNING = ("帮我规划", "规划一下", "实现方案", "改造方案", "修改方案", "需要改哪些", "影响范围", "基于现有", "基于已有", "怎么改", "如何改", "怎么实现", "如何实现", "plan", "implementation plan", "impact scope")
+ACTIONS = ("新增", "修改", "改造", "实现", "接入", "调整", "扩展", "加字段", "新增字段", "加列", "新增列", "建表", "新增表", "add", "change", "modify", "implement", "refactor", "extend")
+SCOPES = ("任务", "需求", "功能", "字段", "表", "接口", "方法", "类", "调用链", "现有逻辑", "project", "feature", "field", "table", "api", "method", "class")
 #: What asks for the steps of an execution, and how entry points are named.
-TRACING = (*"执行详细步骤 详细步骤 执行步骤 执行流程 详细流程 详细过程 执行过程 怎么执行 如何执行 调用了什么 查了什么表 插入了什么 写入了什么 return continue".split(), "execution flow", "execution steps", "call flow")
+TRACING = ("执行详细步骤", "详细步骤", "执行步骤", "执行流程", "详细流程", "详细过程", "执行过程", "怎么执行", "如何执行", "调用了什么", "查了什么表", "插入了什么", "写入了什么", "return", "continue", "execution flow", "execution steps", "call flow")
 ENTRY_SUFFIXES = ("Handler", "Job", "Listener", "Task")
 PERSISTING_EDGES = ["writes_table", "defines_contract"]
-GENERIC = frozenset("api class config controller dao data database entity feign from interface java mapper method route service table where".split())
+GENERIC = frozenset(("api", "class", "config", "controller", "dao", "data", "database", "entity", "feign", "from", "interface", "java", "mapper", "method", "route", "service", "table", "where"))
 CLASS_SUFFIXES = ("Entity", "Service", "ServiceImpl", "Dao", "Mapper")
 TOOL_ORDER = ["artifact_search", "relation_search", "vector_search", "aggregate_query", "target_trace", "execution_trace", "source_read"]
 JOBS = ("job", "定时任务", "任务", "scheduled", "xxl")

@@ -20,6 +20,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -52,7 +53,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: written once to the shared folder, so a lost executor loses nothing.
 
-    Spark removes the files once the frame is no longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    Spark removes the files once the frame is no longer referenced where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set, as ``build_session`` does; a session of another origin must set it itself, or clear the folder after a run.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -89,12 +89,13 @@ def vector_topk_typed(spark, d):
 
 
 def vector_text(spark, d):
-    rows = read_table(spark, d, "embeddings").select("vec_id", vector.to_text(F.col("embedding")).alias("t"))
-    return rows.select("vec_id", F.length("t").cast("long").alias("n"), F.size(vector.from_text(F.col("t"))).cast("long").alias("dim"))
+    rows = read_table(spark, d, "embeddings").select("vec_id", "embedding", vector.to_text(F.col("embedding")).alias("t"))
+    same = F.forall(F.zip_with("embedding", vector.from_text(F.col("t")), lambda a, b: F.abs(a - b) <= 1e-7), lambda x: x)
+    return rows.select("vec_id", F.md5("t").alias("digest"), F.size(vector.from_text(F.col("t"))).cast("long").alias("dim"), same.alias("same"))
 
 
 def query_terms(spark, d):
-    questions = read_table(spark, d, "rag_messages").where("role = 'user' and content is not null")
+    questions = read_table(spark, d, "rag_messages").where("content is not null")
     return questions.select("id", F.array_join(tx.query_terms(F.col("content")), "|").alias("terms"))
 
 
@@ -196,7 +197,7 @@ ORACLE = {
       select doc_id, md5(a) as digest, length(b) as n from n""",
     "negative_terms": r"""with k as (select doc_id, list_concat(list_transform(regexp_extract_all(text, '(?i)\bnot\s+([A-Za-z0-9_-]+)', 1), lambda t: lower(t)), regexp_extract_all(text, '不是\s*([A-Za-z0-9_\-\x{4e00}-\x{9fff}]+)', 1)) as k from documents where text is not null)
       select doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|') as terms from k where len(k) > 0""",
-    "vector_text": "select vec_id, cast(length('[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::double)), ',') || ']') as bigint) as n, len(embedding) as dim from embeddings",
+    "vector_text": "select vec_id, md5('[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::double)), ',') || ']') as digest, len(embedding) as dim, true as same from embeddings",
     "login_providers": """with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents),
       c as (select doc_id, line, lower(t || case when line % 7 = 0 then ' oauth gitee' when line % 5 = 0 then ' redirect_uri weixin' else '' end) as t from l),
       p as (select doc_id, line, case when contains(t, 'gitee') then 'Gitee' when contains(t, 'github.com') then 'GitHub' when contains(t, 'weibo') then 'Weibo' when contains(t, 'graph.qq.com') or contains(t, 'connect.qq.com') then 'QQ' when contains(t, 'wechat') or contains(t, 'weixin') then 'WeChat' end as provider
@@ -209,7 +210,7 @@ ORACLE = {
     "markdown_headings": r"""with l as (select doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as t, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 as line from documents where lower(trim(source)) in ('library', 'changelog')),
       f as (select *, sum(case when regexp_matches(t, '^\s*```') then 1 else 0 end) over (partition by doc_id order by line) % 2 as fenced from l)
       select doc_id, cast(line as bigint) as line, length(regexp_extract(t, '^(#{1,6})[ \t]+\S', 1)) as level, trim(regexp_replace(t, '^#{1,6}[ \t]+', '')) as title from f where fenced = 0 and regexp_matches(t, '^#{1,6}[ \t]+\S')""",
-    "query_terms": rf"""with q as (select id, content, regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_./:\-]*') as raw from rag_messages where role = 'user' and content is not null),
+    "query_terms": rf"""with q as (select id, content, regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_./:\-]*') as raw from rag_messages where content is not null),
       n as (select *, list_filter(list_transform(raw, lambda t: regexp_replace(t, '^[.,;:()\[\]{{}}<>"'']+|[.,;:()\[\]{{}}<>"'']+$', '', 'g')), lambda t: t <> '') as ids from q),
       g as (select *, flatten(list_transform(ids, lambda t: list_concat([t], list_filter(string_split(regexp_replace(regexp_replace(t, '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), ' '), lambda p: length(p) >= 3 and not regexp_matches(p, '^[0-9]+$'))))) as named,
         flatten(list_transform(list_filter(regexp_extract_all(content, '[{_CJK}]+'), lambda r: length(r) > 1), lambda r: flatten(list_transform(range(2, least(length(r), 4) + 1), lambda n: list_transform(range(1, length(r) - n + 2), lambda i: r[i:i + n - 1]))))) as grams,

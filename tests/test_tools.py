@@ -128,3 +128,23 @@ def test_resolutions_projects_and_settings(spark):
 def test_command_line(capsys):
     assert cli.main(["list"]) == 0 and "p4_found" in capsys.readouterr().out
     assert cli.main(["run", "no_such_query", "x"]) == 2
+
+
+def test_provider_retries_orders_and_gives_up():
+    from codeloom.plans.provider import ProviderError, dependable
+
+    failures, pauses = {"b": 2}, []
+
+    def call(texts):
+        if failures.get(texts[0], 0) > 0:
+            failures[texts[0]] -= 1
+            raise OSError("busy")
+        return [(i, [float(ord(t))]) for i, t in reversed(list(enumerate(texts)))]
+
+    assert dependable(call, 1, batch=1, sleep=pauses.append)(list("abc")) == [[97.0], [98.0], [99.0]] and pauses == [1.0, 2.0]
+    assert dependable(call, 1, batch=2)(["a", "c", "d"]) == [[97.0], [99.0], [100.0]] and dependable(call, 1)([]) == []
+    for bad in (lambda t: [(0, [1.0, 2.0])], lambda t: [(5, [1.0])], lambda t: 1 / 0):
+        with pytest.raises(ProviderError):
+            dependable(bad, 1, retries=1, sleep=pauses.append)(["x"])
+    with pytest.raises(ValueError):
+        dependable(call, 1, batch=0)
