@@ -16,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.operators import store
 from codeloom.session import cut, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -551,17 +550,16 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     attempts make each round settle more.
     """
     make = _made(key)
-    taken = ["pii_type", "surrogate"]
-    left = cut(found.groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.max_by("value", F.struct(F.length("value"), "value")).alias("sample")))
-    settled, attempt = None, 0
-    while settled is None or not left.isEmpty():
-        tried = cut(left.withColumn("surrogate", make("sample", "pii_type", F.lit(attempt), "entity")))
-        free = tried if settled is None else tried.join(settled.select(*taken), taken, "left_anti")
-        won = store.first_wins(free, taken, ["entity"]).select("pii_type", "entity", "surrogate", "occurrences", F.lit(attempt).alias("attempt"))
-        settled = cut(won if settled is None else settled.unionByName(won))
-        left = cut(left.join(settled.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti"))
+    found = found.groupBy("pii_type", "entity").agg(F.count("*").alias("occurrences"), F.max_by("value", F.struct(F.length("value"), "value")).alias("sample"))
+    state = cut(found.select("*", F.lit(None).cast("string").alias("surrogate"), F.lit(0).alias("attempt"), F.lit(False).alias("settled")))
+    attempt = 0
+    while not state.where("not settled").isEmpty():
+        tried = state.where("not settled").withColumn("surrogate", make("sample", "pii_type", F.lit(attempt), "entity")).withColumn("attempt", F.lit(attempt))
+        both = state.where("settled").unionByName(tried)
+        holder = both.groupBy("pii_type", "surrogate").agg(F.min(F.struct(~F.col("settled"), "entity"))["entity"].alias("holder"))
+        state = cut(both.join(holder, ["pii_type", "surrogate"]).withColumn("settled", F.col("entity") == F.col("holder")).drop("holder"))
         attempt += 1
-    return settled
+    return state.select("pii_type", "entity", "surrogate", "occurrences", "attempt")
 
 
 def rewritten(documents: DataFrame, lexicon: DataFrame, key: bytes) -> DataFrame:
