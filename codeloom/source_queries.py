@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.operators import graph, store
-from codeloom.session import read_table
+from codeloom.operators import graph, ranking, store
+from codeloom.plans import refine
+from codeloom.session import cut, read_table
 from codeloom.sources import extract, workspace
 
 
@@ -68,6 +69,7 @@ public class {name} extends Base implements Api {{
         return helper.run(new Order(query));
     }}
 
+    @XxlJob("{name}Job")
     @KafkaListener(topics = "{name}-in")
     @Cacheable("{name}-cache")
     public void on(String message) {{ }}
@@ -171,7 +173,46 @@ def file_modules(spark, d):
     return workspace.with_modules(files.select("path", "language").distinct(), roots).select("path", "language", "module_name")
 
 
+def _aggregated(spark, d, group: str) -> DataFrame:
+    """The symbols of the generated sources ranked by an annotated dimension."""
+    files = _generated(spark, d, JAVA, "java", "A.java")
+    symbols = extract.facts(files).where("record = 'symbol'")
+    rows = symbols.select(F.concat_ws("#", "path", "kind", "qualified_name").alias("id"), "kind", "name", "qualified_name", "signature", "path", F.lit("gen").alias("module_name"), F.lit("gen").alias("service_name"), "metadata", "start_line")
+    best = ranking.aggregated(rows, ranking.DIMENSIONS[group], ["invoice"], limit=1_000_000)
+    return best.select("label", "path", F.col("priority").cast("long").alias("priority"))
+
+
+def generated_apis(spark, d):
+    return _aggregated(spark, d, "api")
+
+
+def generated_jobs(spark, d):
+    return _aggregated(spark, d, "job")
+
+
+def generated_controllers(spark, d):
+    return _aggregated(spark, d, "controller")
+
+
+def generated_routes(spark, d):
+    """The routes of the generated sources with method and path."""
+    rows = extract.facts(_generated(spark, d, JAVA, "java", "A.java")).where("record = 'symbol' and kind = 'route'")
+    told = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
+    return rows.select("path", told("http_method"), F.get_json_object("metadata", "$.path").alias("route"), told("handler"))
+
+
+def generated_tables(spark, d):
+    """The tables of a build over the generated mappers: how many symbols, edges and chunks of each kind, and none that dangles."""
+    files = _generated(spark, d, MAPPER, "mybatis_xml", "m.xml")
+    out = refine.tables(cut(extract.facts(files)), "p")
+    ends = out["symbols"].select("id")
+    whole = out["edges"].join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    count = lambda rows, what, kind: rows.groupBy(kind).agg(F.count("*").alias("n")).select(F.concat(F.lit(f"{what}:"), kind).alias("what"), "n")
+    return count(out["symbols"], "symbol", "kind").unionByName(count(whole, "edge", "kind")).unionByName(count(out["chunks"], "chunk", "chunk_type"))
+
+
 QUERIES = {
+    **{q.__name__: q for q in (generated_apis, generated_jobs, generated_controllers, generated_routes, generated_tables)},
     **{q.__name__: q for q in (generated_symbols, generated_edges, generated_refs, generated_chunks, generated_constants, generated_publishes, generated_statements, generated_settings, generated_resources, generated_services, file_modules)},
     "java_symbols": java_symbols, "java_methods": java_methods, "java_packages": java_packages, "java_references": java_references, "java_edges": java_edges,
     "markdown_chunks": markdown_chunks, "config_settings": config_settings,
@@ -212,6 +253,13 @@ _SETTINGS = [
 ]
 _RESOURCES = [("'uses_resource'", _SERVICE, f"'resource:{t}:' || {v}") for t, v in (("database", "'mysql://db.example:3306/' || low"), ("redis", "'redis://cache.example:6379/0'"), ("kafka", "'kafka://k1:9092'"))]
 ORACLE = {
+    "generated_apis": _each("path, label, name", [("'/' || name", "name")], "A.java", "label, path, cast(case when contains(lower(name), 'invoice') then 1 else 5 end as bigint) as priority"),
+    "generated_jobs": _each("path, label", [("name || 'Job'",)], "A.java", "label, path, cast(case when contains(lower(label), 'invoice') then 1 else 5 end as bigint) as priority"),
+    "generated_controllers": _each("path, label", [("'/' || name",)], "A.java", "label, path, cast(case when contains(lower(label), 'invoice') then 1 else 5 end as bigint) as priority"),
+    "generated_routes": _each("path, http_method, route, handler", [("'GET'", "'/' || name", "'gen.' || name || '.get'")], "A.java", "path, http_method, route, handler"),
+    "generated_tables": f"""with {_G}, n as (select count(distinct name) as c from g), t as (select count(distinct t) as c from (select unnest(['t_' || low, 'u_' || low, 'v_' || low]) as t from g)), k as (select count(distinct name || '/' || low) as c, count(*) as f from g)
+      select 'symbol:mapper' as what, c as n from n union all select 'symbol:sql_statement', 3 * c from n union all select 'symbol:db_table', c from t union all select 'symbol:service', 1
+      union all select 'edge:reads_table', 2 * c from n union all select 'edge:writes_table', 2 * c from n union all select 'chunk:mybatis_sql', 3 * f from k""",
     "generated_symbols": _each("path, kind, name", _SYMBOLS, "A.java", "distinct path, kind, name"),
     "generated_edges": _each("path, kind, source, target", _EDGES, "A.java", "path, kind, source, target"),
     "generated_refs": _each("path, kind, name", _REFS, "A.java", "path, kind, name"),
