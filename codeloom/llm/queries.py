@@ -35,6 +35,11 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("cosine", near["cosine"].cast("float"))
 
 
+def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``p2_found`` with bins so small that groups are cut into cells, blocks and shares of queries."""
+    return neighbours.similar_pairs(read_table(spark, sf_dir, "chunk_embeddings"), neighbours.Settings(k=5, min_cosine=0.85, bin_rows=100))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id) of the active chunks that had to be cut."""
     return split.pieces(read_table(spark, sf_dir, "code_chunks")).where("piece = 1").select("chunk_id").distinct()
@@ -141,7 +146,7 @@ def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
-    "p2_found": p2_found, "p2_neighbours": p2_neighbours,
+    "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_cells": p2_cells,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_pairs": p6_pairs,
     "p7_found": p7_found, "p7_conversations": p7_conversations,

@@ -39,8 +39,7 @@ sized as (select id, content, updated_at, case when regexp_matches(raw, '^\s*\+?
     then cast(floor(try_cast(trim(raw) as double)) as int) else 800 end as max_tokens,
     len(regexp_extract_all(content, '[\x{4e00}-\x{9fff}]|[A-Za-z0-9_./:\-]+')) as tokens from told)"""
 
-ORACLE = {
-    "p2_found": """
+PAIRS = """
       with fine as (
         select distinct id, project_id, embedding_model, embedding::double[] as v from chunk_embeddings
         where status = 'active' and id is not null and project_id is not null and embedding_model is not null and len(embedding) = 64
@@ -49,7 +48,11 @@ ORACLE = {
         select a.id, b.id as near, list_cosine_similarity(a.v, b.v) as c from fine a
         join fine b on a.project_id = b.project_id and a.embedding_model = b.embedding_model and a.id <> b.id),
       best as (select * from near qualify row_number() over (partition by id order by c desc, near) <= 5)
-      select distinct least(id, near) as id_a, greatest(id, near) as id_b from best where c >= 0.85""",
+      select distinct least(id, near) as id_a, greatest(id, near) as id_b from best where c >= 0.85"""
+
+ORACLE = {
+    "p2_found": PAIRS,
+    "p2_cells": PAIRS,
     "p3_found": f"with {SIZED} select distinct id as chunk_id from sized where tokens > max_tokens",
     "p7_order": f"""with {FAULTS}
       select thread_db_id, row_number() over (partition by thread_db_id order by created_at, id) - 1 as position, id, speaker
