@@ -228,6 +228,15 @@ ORACLE = {
       g as ({_EDGE.replace("PREFIX", "target_relation").replace("FROM", "x")}), h as (select * from g order by file_path, coalesce(start_line, 0), symbol, id limit 48),
       u as (select distinct evidence_type, file_path, start_line, symbol from (select evidence_type, file_path, start_line, symbol from h union all select 'target_match', path, start_line, qualified_name from a))
       select *, row_number() over (order by case evidence_type when 'target_match' then 2 else 99 end, file_path, coalesce(start_line, 0), symbol) as position from u""",
+    "tool_execution": f"""with recursive {_R}, k as (select id, case when kind in ('method', 'constructor', 'route') and lower(name) = 'cancelinvoice' then 1
+        when kind in ('method', 'constructor', 'route') and contains(lower(qualified_name), 'cancelinvoice') then 2 end as tier from s), e0 as (select * from k where tier = (select min(tier) from k)),
+      calls as (select distinct source_id, target_id from edges where kind = 'calls'),
+      walk(id, hop) as (select id, 0 from e0 union select c.target_id, w.hop + 1 from walk w join calls c on c.source_id = w.id where w.hop < 2),
+      h as (select id, min(hop) as hop from walk group by 1),
+      x as (select 'execution_method' as evidence_type, id, hop from h
+        union all select 'execution_' || e.kind, e.target_id, min(h.hop) from edges e join h on h.id = e.source_id where e.kind in ('reads_table', 'writes_table', 'publishes', 'references', 'instantiates') group by e.kind, e.target_id),
+      y as (select x.evidence_type, r.path as file_path, r.start_line, r.qualified_name as symbol, x.hop from x join r on r.id = x.id order by hop, evidence_type, symbol, file_path, start_line limit 48)
+      select evidence_type, file_path, start_line, symbol, row_number() over (order by hop, evidence_type, symbol, file_path, start_line) as position from y""",
     "tool_vectors": f"""with v as (select cast(vec_id as varchar) as chunk_id, cast(label as varchar) as symbol, round(coalesce(list_cosine_similarity(embedding::double[], {QUERY_VECTOR}::double[]), 0), 6) as score from embeddings where label % 2 = 0)
       select 'vector_chunk:artifact_class' as evidence_type, symbol, score, row_number() over (order by score desc, chunk_id) as position from v order by score desc, chunk_id limit 20""",
     "tool_source_read": """with t as (select rel_path as path, arg_max(text, doc_id) as text from documents where text is not null and rel_path is not null group by 1 order by 1 limit 6),
@@ -255,6 +264,13 @@ ORACLE = {
       select id, coalesce(case when json_type(j) = 'VARCHAR' and trim(j ->> '$') <> '' then j ->> '$' end, case when starts_with(qualified_name, kind || ':') then substr(qualified_name, length(kind) + 2) end, name) as service from k""",
     "local_assignments": rf"""with {_B}, l as (select symbol_id, unnest(regexp_extract_all(content, '{hint.ASSIGNMENT}', 1)) as name, trim(unnest(regexp_extract_all(content, '{hint.ASSIGNMENT}', 2))) as value from b)
       select distinct symbol_id, name, value from l where value <> ''""",
+    "published_messages": rf"""with {_B}, l as (select symbol_id, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) as t, generate_subscripts(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 as line from b),
+      p as (select symbol_id, line, regexp_extract(t, '{hint.SEND}', 1) as sender, trim(regexp_extract(t, '{hint.SEND}', 2)) as raw from l),
+      a as (select distinct symbol_id, unnest(regexp_extract_all(content, '{hint.ASSIGNMENT}', 1)) as name, trim(unnest(regexp_extract_all(content, '{hint.ASSIGNMENT}', 2))) as value from b),
+      v as (select p.*, array_to_string(list_transform(regexp_split_to_array(coalesce(nullif(a.value, ''), p.raw), '\s*\+\s*'), lambda x: regexp_replace(trim(x), '^"(.*)"$', '\1')), '') as value
+        from p left join a on a.symbol_id = p.symbol_id and a.name = p.raw where p.sender <> '')
+      select distinct symbol_id, line, sender, raw, case when contains(value, ':') and not contains(value, '://') then trim(split_part(value, ':', 1)) else value end as topic,
+        case when contains(value, ':') and not contains(value, '://') then nullif(trim(substr(value, strpos(value, ':') + 1)), '') end as tag from v""",
     "module_scope": f"with {_R} select kind, count(*) as n from r where module_name ilike '%{MODULE}%' or service_name ilike '%{MODULE}%' or path ilike '%{MODULE}%' or qualified_name ilike '%{MODULE}%' group by 1",
     "path_prefix": f"with {_F} select id, path from f where path like 'library/%'",
     "one_liners": f"with {_S} select id, start_line, end_line from s where end_line <= start_line",
