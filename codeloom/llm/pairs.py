@@ -28,8 +28,10 @@ SPIKE_SIZE, SPIKE_SHARE, SPIKE_TIMES = 80, 0.01, 8.0
 
 IDENTIFIER = re.compile(r"`[^`\n]{1,80}`|(?<![\w])(?:\d+\.)+\d+(?![\w])|[A-Za-z]\w*(?:[._:/\-]+\w+)+|[A-Za-z]\w*_\w*|\b[A-Za-z]+[a-z][A-Z]\w*|\b[A-Z]{2,}-[\d\-]+")
 NUMBER = re.compile(r"\d+(?:[.,:\-]\d+)*")
-FENCE = re.compile(r"```.*?```", re.S)
+FENCE, COMMENT = re.compile(r"```.*?```", re.S), re.compile(r"<!--.*?-->", re.S)
+CLOSING = re.compile(r"[.!?。！？;；\"'”)\]*]+$")
 HAN = re.compile(r"[㐀-鿿]")
+LETTER_RUN = re.compile(r"[^\W_]+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 BLANK = re.compile(r"[\s᠎​-‍⁠﻿\x1c-\x1f]+")
 MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|&nbsp;|&#?\w+;|```\w*|[`*_~#>|\[\]{}()\"'“”‘’<>=+\-–—….,;:!?/\\。，：；！？「」•·]")
@@ -40,6 +42,7 @@ FILLERS = frozenset(
     "lorem ipsum|keine|leer|kein inhalt|keine antwort|keine angabe|ohne inhalt|无|暂无|空|无内容|暂无内容|"
     "暂无回答|待补充|没有内容|略".split("|")
 )
+FILLER_STARTS = re.compile("|".join(re.escape(w) for w in sorted({f.split()[0] for f in FILLERS}, key=len, reverse=True)))
 #: What a copied question may be wrapped in, folded.
 LEADS = re.compile(
     r"^(?:you asked|you asked me|your question|your question was|the question is|the question was|question|q|frage|deine frage|ihre frage|du fragst|"
@@ -90,6 +93,9 @@ DECLINES = re.compile(
     |\boff[\s-]+limits\b.*\b(?:me|us)\b|\b(?:topic|subject|matter|question)\s+is\s+(?:off[\s-]+limits|closed\s+to\s+me|taboo|confidential)|\bnot\s+at\s+liberty|\bnot\s+for\s+me\s+to\b|\bi\s+(?:must|have\s+to|prefer\s+to)\s+stay\s+(?:out|silent)|\bi(?:'m|\s+am)\s+not\s+the\s+right\b
     |\bthema\b.*\b(?:tabu|gesperrt)\b|\b(?:dazu|hierzu|darüber)\s+(?:sage|äußere|gebe|schweige)\s+ich\b|\bsteht\s+mir\s+nicht\s+zu|\bdafür\s+bin\s+ich\s+nicht\s+zuständig
     |不予置评|无可奉告|恕(?:不|难|我)|不便(?:透露|回答|讨论)|不在我(?:的)?(?:权限|范围|职责)|不属于我
+    |^\W*(?:(?:i'm\s+)?(?:sorry|afraid)\W+)?(?:but\s+|that\s+)?(?:(?:we|i)\s+(?:are\s+|am\s+)?)?(?:can(?:no|')t|can\s+not|won't|unable\s+to|not\s+able\s+to|have\s+to\s+decline\s+to|must\s+decline\s+to)\s+(?:help|assist|answer|comply|discuss|advise|support|do|give|provide|share|respond)\b
+    |\b(?:would\s+not|wouldn't|is\s+not|isn't)\s+(?:be\s+)?appropriate\s+for\s+(?:me|us)\b|\binappropriate\s+for\s+(?:me|us)\b|\bi\s+(?:should\s+not|shouldn't|could\s+not|couldn't)\s+(?:possibly\s+)?(?:help|assist|answer|comment|discuss|share|say|tell|advise)
+    |\bmy\s+(?:programming|training|configuration|safety\s+\w+)\s+(?:does\s+not|doesn't|won't|prevents?|forbids?|stops?)
     |\b(?:sharing|discussing|saying|disclosing)\s+(?:anything|details|information)\b.*\bis\s+not\b|\bno\s+comment\s+(?:on|from)\b
     |\b(?:dabei|damit|hierbei|da|dir|ihnen|hier)\s+kann\s+ich\b.*\bnicht\b|\bkann\s+ich\s+(?:\w+\s+){0,4}?nicht\s+(?:helfen|beantworten|weiterhelfen|sagen|dienen|geben)|\bich\s+kann\b.*\b(?:nicht|keine?)\b.*\b(?:helfen|beantworten|sagen|geben|machen)
     |\bmuss\s+ich\s+(?:leider\s+)?ablehnen|\bich\s+muss\b.*\bablehnen|\bich\s+(?:lehne|verweigere)\b|\bdarf\s+ich\s+(?:leider\s+)?(?:nicht|keine|nichts)|\bich\s+darf\b.*\b(?:nicht|keine|nichts)\b
@@ -124,7 +130,7 @@ SPLIT = re.compile(rf"(?<=[.!?;:])[\"')\]]*\s+|(?<=[。！？；])|[\r\n]+|(?<=[
 
 def fold(text: str) -> str:
     """Letters, digits and Han characters in lower case, other runs as single blanks."""
-    return " ".join(re.findall(r"[^\W_]+", text.lower()))
+    return " ".join(LETTER_RUN.findall(text.lower()))
 
 
 SCRIPTS = [(re.compile(r), name) for r, name in ((r"[가-힯]", "ko"), (r"[Ѐ-ӿ]", "ru"), (r"[؀-ۿ]", "ar"), (r"[Ͱ-Ͽ]", "el"))]
@@ -172,8 +178,10 @@ def is_empty(text: str | None) -> bool:
     """Blank, or only a filler or markup without content."""
     if text is None:
         return True
-    bare = BLANK.sub(" ", MARKUP.sub(" ", re.sub(r"<!--.*?-->", " ", text, flags=re.S))).strip()
-    return not bare or fold(bare) in FILLERS or fold(text) in FILLERS
+    bare = BLANK.sub(" ", MARKUP.sub(" ", COMMENT.sub(" ", text) if "<!--" in text else text)).strip()
+    if not bare:
+        return True
+    return any((first := LETTER_RUN.search(t)) and FILLER_STARTS.match(first[0].lower()) and fold(t) in FILLERS for t in (bare, text))
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -231,7 +239,7 @@ def is_foreign(question: str, answer: str, answer_prose: str | None = None) -> b
 
 def masked(text: str) -> str:
     """Identifiers and numbers masked, complete code blocks as one mask of their own line."""
-    return NUMBER.sub("#", IDENTIFIER.sub(MASK, FENCE.sub(f"\n{MASK}{MASK}\n", text)))
+    return NUMBER.sub("#", IDENTIFIER.sub(MASK, FENCE.sub(f"\n{MASK}{MASK}\n", text) if "```" in text else text))
 
 
 def units(text: str, plain: str | None = None) -> tuple[list[str], bool]:
@@ -240,7 +248,7 @@ def units(text: str, plain: str | None = None) -> tuple[list[str], bool]:
     parts = [p.strip() for p in SPLIT.split(plain)]
     parts = [p for p in parts if p]
     done = not parts or bool(TERMINATED.search(parts[-1])) or parts[-1] == MASK + MASK
-    return [re.sub(r"[.!?。！？;；\"'”)\]*]+$", "", p) for p in parts], done
+    return [CLOSING.sub("", p) for p in parts], done
 
 
 def prose_size(unit: str) -> int:
