@@ -94,13 +94,13 @@ _B, _A = r"(?<![A-Za-z0-9_'\-äöüß])", r"(?![A-Za-z0-9_äöüß@]|-\d|[.(]\w)
 #: What stands before and after persons' names. The first group of each is one name.
 AROUND = [
     (('Mr', 'Ms', 'Miss', 'Dr', 'Prof', 'Herr', 'Frau', 'Sir', 'Madam'), rf"{_B}{_TITLE}({PERSON}){_A}"),
-    (((" by ",), re.compile(r"(?:off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by ", re.I)), rf"(?i:{_B}(?:signed off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by) ({PERSON}){_A}"),
+    (["off by ", "escalated by ", "suggested by ", "reported by ", "approved by ", "reviewed by ", "written by ", "confirmed by ", "handled by ", "requested by ", "assigned by ", "submitted by ", "raised by "], rf"(?i:{_B}(?:signed off|escalated|suggested|reported|approved|reviewed|written|confirmed|handled|requested|assigned|submitted|raised) by) ({PERSON}){_A}"),
     ((' with ',), rf"(?i:{_B}(?:agreed|spoke|talked|checked|met|discussed) with) ({PERSON}){_A}"),
     (('took over from',), rf"(?i:{_B}took over from) ({PERSON}){_A}"),
     (('Ask', 'Contact', 'Call', 'Ping', 'Customer', 'Client', 'Dear', 'Hi ', 'Hello', 'Kund', 'Both', 'Beide'), rf"{_B}(?:Ask|Contact|Call|Ping|Customer|Client|Dear|Hi|Hello|Kundin|Kunde|Both|Beide) ({FULL}){_A}"),
     ((("author", "owner:", "call:", "contact:", "assignee:", "reviewer:", "reporter:", "maintainer:"), re.compile("author|owner:|call:|contact:|assignee:|reviewer:|reporter:|maintainer:", re.I)), rf"(?i:@author|\bowner:|\bon[ -]call:|\bauthor:|\bcontact:|\bassignee:|\breviewer:|\breporter:|\bmaintainer:) *({PERSON}){_A}(?!\.\w)"),
     (('says:', 'schein:', 'ustomer:', 'unde:', 'undin:', 'ame:', 'partner'), rf"(?i:\b(?:delivery note says|lieferschein|customer|kunde|kundin|name|ansprechpartner(?:in)?)): *({FULL}){_A}"),
-    (('urch ', 'it ', 'on '), rf"(?:\bDurch|\bdurch|\bMit|\bmit|\bvon|\bVon) ({FULL}){_A}(?= ist|,? Tel| abgesprochen| in )"),
+    (('Durch ', 'durch ', 'Mit ', 'mit ', 'von ', 'Von '), rf"(?:\bDurch|\bdurch|\bMit|\bmit|\bvon|\bVon) ({FULL}){_A}(?= ist|,? Tel| abgesprochen| in )"),
     (('Thanks', 'Regards', 'Best', 'Cheers', 'Danke', 'Gruß', 'Grüße', 'hip to', 'ersand an', 'eliver to', 'ieferung an', 'ill to'), rf"(?:Thanks|Regards|Best|Cheers|Danke|Gruß|Grüße|Ship to|Versand an|Deliver to|Lieferung an|Bill to)[,:!]?[ \t]*\r?\n[ \t]*({PERSON})[ \t]*(?=\r?\n|$)"),
     (((" reported it", " called ", " took over", " has ", " have access", " hat ", " haben zugriff", " ist abgesprochen", " asked ", " wrote "), re.compile(" (?:reported it|called (?:again|back|in|twice)|took over|has (?:asked|reported|called)|have access|hat (?:den|die|das|zwei|drei|ein|wieder|noch)|haben Zugriff|ist abgesprochen|asked (?:for|whether|about)|wrote (?:again|back))")), rf"{_B}({PERSON}){_A} (?:reported it|called (?:again|back|in|twice)|took over|has (?:asked|reported|called)|have access|hat (?:den|die|das|zwei|drei|ein|wieder|noch)|haben Zugriff|ist abgesprochen|asked (?:for|whether|about)|wrote (?:again|back))"),
     ((' have access', 'haben Zugriff', 'agreed', 'confirmed'), rf"{_B}({FULL}) (?:and|und) {PERSON}{_A} (?:have access|haben Zugriff|agreed|confirmed)"),
@@ -112,30 +112,35 @@ AROUND = [
     (('最先', '女士', '先生', '来电', '都有'), rf"(?<![A-Za-z])({FULL})(?=最先|女士|先生|来电|都有|和[^\s]{{2,20}}都有)"),
     (('Mit ', 'With '), rf"{_B}(?:Mit|With) ({FULL}){_A} "),
     (('living', 'wohnhaft', 'residing', 'reachable', 'erreichbar', 'Tel', 'tel', 'phone'), rf"{_B}({FULL}){_A}(?=,? (?:living at|wohnhaft|residing at|reachable under|erreichbar unter|Tel\.?\b|tel\b|phone\b))"),
+    (("orward", "Send ", "send ", "sent ", "gave ", "introduced "), rf"\b(?:[Ff]orward(?:ed)?|[Ss]end|sent|gave|introduced)(?: [a-z]+){{0,4}}? (?:to|with|from) ({FULL}){_A}"),
+    (("boss", "manager", "colleague", "wife", "husband", "neighbour", "neighbor", "friend", "landlord", "lawyer", "doctor", "assistant"), rf"\b(?:[Mm]y|[Oo]ur|[Hh]is|[Hh]er|[Tt]heir) (?:boss|manager|colleague|wife|husband|neighbou?r|friend|landlord|lawyer|doctor|assistant),? ({FULL}){_A}"),
+    ((", our ", ", the ", ", my "), rf"{_B}({FULL}), (?:our|the|my) (?:new |former |senior )?(?:manager|engineer|director|developer|analyst|assistant|lawyer|doctor|accountant|consultant|owner|tenant)\b"),
+    (("named ", "name is ", "I am ", "I'm ", "ch bin ", "Name ist ", "ch heiße ", "m'appelle ", "llamo "), rf"\b(?:named|[Nn]ame is|I am|I'm|[Ii]ch bin|Name ist|[Ii]ch heiße|m'appelle|llamo) ({FULL}){_A}"),
     (((" (",), re.compile(r" \((?:[^()\s]+@|[^()\s]+[ ]?[\[(])")), rf"{_B}({FULL}){_A}(?= \((?:[^()\s]+@|[^()\s]+[ ]?[\[(]))"),
 ]
-def _gated(triggers: tuple[str, ...] | tuple[tuple[str, ...], re.Pattern], pattern: str) -> tuple[tuple[str, ...], re.Pattern | None, re.Pattern]:
-    """(literals of which one must occur, letter case aside if a gate follows; where to look closer; the pattern)."""
+def _gated(triggers: tuple[str, ...] | list[str] | tuple[tuple[str, ...], re.Pattern], pattern: str) -> tuple[tuple[str, ...] | list[str], re.Pattern | None, re.Pattern]:
+    """(literals of which one must occur, letter case aside for a list or if a gate follows; where to look closer; the pattern)."""
     literals, gate = triggers if isinstance(triggers[-1], re.Pattern) else (triggers, None)
     return literals, gate, re.compile(pattern, re.M)
 
 
+_RUNS = re.compile(r"[a-z0-9]+")
 #: A name lies within so many characters of what it is told by.
 NEAR = 160
 
 
-def near_matches(gated: tuple[tuple[str, ...], re.Pattern | None, re.Pattern], text: str, lowered: str) -> Iterator[re.Match]:
+def near_matches(gated: tuple[tuple[str, ...] | list[str], re.Pattern | None, re.Pattern], text: str, lowered: str) -> Iterator[re.Match]:
     """Matches of the pattern around its triggers; the next search starts where a match's last group ends."""
     literals, gate, pattern = gated
     if gate is not None:
         hits = [(m.start(), m.end()) for m in gate.finditer(text)] if any(t in lowered for t in literals) else []
     else:
-        hits = []
+        hits, within = [], lowered if isinstance(literals, list) else text
         for t in literals:
-            i = text.find(t)
+            i = within.find(t)
             while i >= 0:
                 hits.append((i, i + len(t)))
-                i = text.find(t, i + 1)
+                i = within.find(t, i + 1)
         hits.sort()
     at, size = 0, len(text)
     for start, end in hits:
@@ -146,6 +151,8 @@ def near_matches(gated: tuple[tuple[str, ...], re.Pattern | None, re.Pattern], t
 
 
 _AROUND = [_gated(triggers, p) for triggers, p in AROUND]
+#: Contexts that product and place names share with persons: only a full name counts there.
+_FULL_ONLY = [g for g, (_, p) in zip(_AROUND, AROUND) if p.startswith((r"\b(?:[Ff]orward", r"\b(?:named"))]
 #: A full name all in lower case; taken where the surroundings demand a name and no word of it is a common one.
 _LOW = r"(?:[a-z']{3,}(?:-[a-z]+)? (?:[a-z]\. ?)?(?:van |von |de )?[a-z']{3,}(?:-[a-z]+)?)"
 AROUND_LOW = [
@@ -201,7 +208,8 @@ _AT_MARK = re.compile(r"@|[\[({<][ ]?(?:at|ät|AT)[ ]?[\])}>]|[ ](?:at|ät|AT)[
 _NUMBER_START = re.compile(r"[+(\d](?<![\w\-/.:#=+][\-.:/].)(?<![A-Za-z0-9_\-.+/@#].)", re.S)
 _LETTER_START = re.compile(r"[A-Z](?<![\w\-/.:#=+][\-.:/].)(?<![A-Za-z0-9_\-.+/@#].)(?=[A-Z] ?\d\d|\d{8}|[0-9CFGHJKLMNPRTVWXYZ]{8})", re.S)
 _UNIT_BEFORE = re.compile(rf"{_FREE}{_UNIT}\Z", re.I)
-_DE_MARK = re.compile(r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|steig|zeile|hof|ring|stieg) \d|\d ?[a-z]?, (?:D-)?\d{5} [A-ZÄÖÜ]")
+_DE_STREETS = ("straße ", "strasse ", "str. ", "gasse ", "weg ", "allee ", "platz ", "ufer ", "damm ", "steig ", "zeile ", "hof ", "ring ", "stieg ")
+_DE_TOWN = re.compile(r", (?:D-)?\d{5} [A-ZÄÖÜ]")
 _QUOTED_NUMBER = re.compile(r"[\"'](?:\d{9}|\d{11})(?=[\"'])")
 
 
@@ -225,9 +233,12 @@ def email_starts(text: str) -> list[int]:
     return out
 
 
+_WIDE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(FULL_WIDTH)) + "]")
+
+
 def fold(text: str) -> str:
     """Full-width and typographic characters as ASCII, one for one."""
-    return text if text.isascii() else text.translate(FULL_WIDTH)
+    return text if text.isascii() else _WIDE.sub(lambda m: chr(FULL_WIDTH[ord(m[0])]), text)
 
 
 class Finder:
@@ -240,8 +251,9 @@ class Finder:
         surnames = sorted((n for n, p, s in lexicon if n and s == "han" and p == "family"), key=len, reverse=True)
         self.han = re.compile(rf"(?:{'|'.join(map(re.escape, surnames))})(?:[一-鿿]{{2}}|[一-鿿])") if surnames else None
         latin_names = sorted(self.given | self.family, key=len, reverse=True)
-        self.known_re = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, latin_names))})(?![A-Za-z0-9])") if latin_names else None
-        self.latin = latin_names
+        self.single = frozenset(n for n in latin_names if re.fullmatch(r"[a-z0-9]+", n))
+        self.joined_names = joined = [n for n in latin_names if n not in self.single]
+        self.joined = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, joined))})(?![A-Za-z0-9])") if joined else None
         self.word = re.compile(r"(?<![A-Za-z0-9_'\-.@/äöüß])(?:van |von |de |Van |VAN )?[A-Za-zÄÖÜäöü][A-Za-z'äöüßÄÖÜéè]+(?:-[A-Z][A-Za-zäöüß]+)?(?![A-Za-z0-9_äöüß@/]|-[\w]|\.\w|\()")
 
     def find(self, given_text: str) -> list[tuple[int, int, str]]:
@@ -274,7 +286,7 @@ class Finder:
             if not NOT_STREET & set(m["mid"].lower().split()):
                 unit = _UNIT_BEFORE.search(text, max(0, m.start() - 24), m.start())
                 add(unit.start() if unit else m.start(), m.end(), "address")
-        for m in ADDRESS_DE.finditer(text) if _DE_MARK.search(text) else ():
+        for m in ADDRESS_DE.finditer(text) if any(w in text for w in _DE_STREETS) or _DE_TOWN.search(text) else ():
             add(m.start(), m.end(), "address")
         if "号" in text:
             for m in ADDRESS_ZH.finditer(text):
@@ -302,7 +314,7 @@ class Finder:
         lowered = text.lower()
         for gated in _AROUND:
             for m in near_matches(gated, text, lowered):
-                spans += self._trimmed(text, m.start(1), m.end(1))
+                spans += self._trimmed(text, m.start(1), m.end(1), gated in _FULL_ONLY)
         for gated in _AROUND_LOW:
             for m in near_matches(gated, text, lowered):
                 words = set(m.group(m.lastindex).split())
@@ -312,7 +324,7 @@ class Finder:
             spans += [(m.start(1), m.end(1)) for m in pattern.finditer(text) if not re.search("女士|先生|什么|怎么|哪个|如何|系统|消息|字段|任务|模块|数据|这个|问题|版本|之后|缓存|权限|订单|构建|主题|通道|工单|收货|证件", m.group(1))]
         parts = {w.lower() for a, b in spans for w in re.findall(r"(?:van |von |de )?[A-Za-zÄÖÜäöüß']{3,}(?:-[A-Za-zäöüß]+)?", text[a:b])} - NO_NAME
         known = parts | self.given | self.family
-        if parts or (any(n in lowered for n in self.latin) and self.known_re.search(text)):
+        if parts or not self.single.isdisjoint(_RUNS.findall(lowered)) or (any(n in lowered for n in self.joined_names) and self.joined.search(text)):
             spans += self._by_lexicon(text, known)
         if self.han:
             spans += [self._han_end(text, m.start(), m.end()) for m in self.han.finditer(text)]
@@ -327,8 +339,9 @@ class Finder:
         return bool(re.search(r"[\u4e00-\u9fff]{2}", text))
 
     @staticmethod
-    def _trimmed(text: str, start: int, end: int) -> list[tuple[int, int]]:
-        """The span without leading words that are no name; nothing if it is all such words or a product's name."""
+    def _trimmed(text: str, start: int, end: int, full: bool) -> list[tuple[int, int]]:
+        """The span without leading words that are no name; nothing if it is all such words or a product's name,
+        or one word where a full name is asked for."""
         while m := re.match(r"([A-Za-zÄÖÜäöüß]+)\.?[ ,]+", text[start:end]):
             if m[1].lower() not in NO_NAME or re.fullmatch(r"[A-Z]", m[1]):
                 break
@@ -336,7 +349,7 @@ class Finder:
         words = re.findall(r"[A-Za-zÄÖÜäöüß'\-]+", text[start:end])
         if not words or words[-1].lower() in PRODUCT_ENDS or words[-1].lower() in NO_NAME or words[0].lower() in NO_NAME and len(words[0]) > 1:
             return []
-        if re.search(r"[a-z][A-Z]", text[start:end].replace("Mc", "").replace("Mac", "")):
+        if re.search(r"[a-z][A-Z]", text[start:end].replace("Mc", "").replace("Mac", "")) or full and len(words) < 2:
             return []
         return [(start, end)]
 
