@@ -184,9 +184,14 @@ def negative_terms(text: Column) -> Column:
     ))
 
 
+#: White space that ends a sentence or a line, without the vertical tab, as RE2 counts it.
+SPACE = r"[\t\n\f\r ]+"
+
+
 def sentences(text: Column) -> Column:
-    """Sentences, ended by a mark and white space, or by a CJK mark."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|(?<=[。！？；])"), F.trim), lambda s: s != "")
+    """Sentences, ended by a mark and white space, or by a CJK mark; without blanks around them, Unicode's included."""
+    bare = lambda s: F.regexp_replace(s, r"^[\p{Zs}\t\n\f\r]+|[\p{Zs}\t\n\f\r]+\z", "")
+    return F.filter(F.transform(F.split(text, rf"(?<=[.!?;]){SPACE}|(?<=[。！？；])"), bare), lambda s: s != "")
 
 
 #: What makes a text one about logins, what makes it one about mail, and by what a provider is told, in order.

@@ -134,7 +134,7 @@ def markdown_headings(spark, d):
 
 
 def sentence_counts(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", F.size(tx.sentences(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("n"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(tx.sentences(F.regexp_replace("text", tx.SPACE, " "))).cast("long").alias("n"))
 
 
 QUERIES = {

@@ -140,3 +140,20 @@ def test_annotation_values():
     assert annotations.values_of('value = {"/a", "/b"}, method = RequestMethod.GET, name = "x,\\"y"') == {"value": ["/a", "/b"], "method": "RequestMethod.GET", "name": 'x,"y'}
     assert annotations.values_of('"k", cond()') == {"value": "k", "value_1": "cond()"}
     assert annotations.primary({"a": ["z"]}) == "z" and annotations.primary({}) is None
+
+
+def test_sentences_are_bare_of_blanks_and_keep_their_digits(spark):
+    assert one(spark, tx.sentences(F.col("t")), t="0 rows. Row 1 is 1.\nOk 2") == ["0 rows.", "Row 1 is 1.", "Ok 2"]
+    assert one(spark, tx.sentences(F.col("t")), t="　好。  再见！\n ") == ["好。", "再见！"]
+
+
+def test_sentence_counts_agree_with_their_sql_on_odd_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from codeloom import text_queries
+
+    odd = ["\n", " ", "", None, " ", "　", "\x0b", "​", " ", "a.\x0bb", "a.  ", "　。 a", "a. b", "1", "0", "x. 1", "a! 。b; c?d", "a.\r\n\tb", "。。 。", " .\n", "ja.\x85nein", "a。 "]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(text_queries.sentence_counts(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(text_queries.ORACLE["sentence_counts"]).fetchall())
