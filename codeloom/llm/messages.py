@@ -2,15 +2,17 @@
 
 Order within a thread comes from one range partitioning of all rows by (thread, created_at, id), not from one task per
 thread: a thread may fill many partitions. Windows then run within (thread, partition), and what a row needs from earlier
-partitions is carried over through one summary row per thread and partition, for the threads that span several.
+partitions is carried over through one summary row per thread and partition, for the threads that span several. Reply links
+have all earlier rows for candidates: threads that span several blocks are compared block by block.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -84,8 +86,9 @@ def with_last(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 WORD = re.compile(r"[a-z0-9äöüß_.\-]*[a-z0-9äöüß]|[一-鿿]")
 #: Identifiers: with an underscore, dot or hyphen inside, or in camel case.
 NAME = re.compile(r"\b(?:\w+[_.\-]\w[\w.\-]*|[A-Za-z]+[a-z][A-Z]\w*)\b")
-#: Candidates for a message's parent: so many rows just before it, and so many questions before it, a turn's opening one among them.
-RECENT_ROWS, RECENT_QUESTIONS = 8, 8
+#: Rows of a thread that one task compares with each other, or with as many later ones, and the number up to which that is done
+#: one by one, not by an index. Neither changes a link.
+BLOCK_ROWS, FEW_ROWS = 16384, 48
 #: A question is linked to an earlier message only from this score on; below it opens a topic of its own.
 FOLLOW_UP = 1.5
 #: What the opening question of a turn has ahead of the other candidates, which share most of a turn's closeness in time.
@@ -93,15 +96,14 @@ TURN_BONUS = 0.25
 
 
 class Message:
-    """What scoring needs of a message; ``root``: the question its links lead to; ``via``: where an earlier partition knows that, the row there."""
+    """What scoring needs of a message; ``n``: its place in the thread, ``root``: the question its links lead to."""
 
-    __slots__ = ("id", "speaker", "at", "names", "words", "root", "via")
+    __slots__ = ("n", "id", "speaker", "at", "names", "words", "root")
 
-    def __init__(self, id_: int, speaker: str, at: int, content: str, halo: bool):
-        self.id, self.speaker, self.at = id_, speaker, at
+    def __init__(self, n: int, id_: int, speaker: str, at: int, content: str):
+        self.n, self.id, self.speaker, self.at = n, id_, speaker, at
         self.names, self.words = frozenset(NAME.findall(content)), frozenset(WORD.findall(content.lower()))
-        asks = speaker == "user"
-        self.root, self.via = id_ if asks else None, id_ if halo and not asks else None
+        self.root = id_ if speaker == "user" else None
 
 
 def link_score(later: Message, candidate: Message) -> float:
@@ -112,124 +114,199 @@ def link_score(later: Message, candidate: Message) -> float:
 
 
 class Channel:
-    """The latest rows and questions of one thread, to which the next message is linked."""
+    """The candidates of one block of a thread in order: at first as messages, then by the places of each word and name."""
 
     def __init__(self):
-        self.rows: deque[Message] = deque(maxlen=RECENT_ROWS)
-        self.questions: deque[Message] = deque(maxlen=RECENT_QUESTIONS)
+        self.few: list[Message] | None = []
+        self.keys: list[tuple[int, int, int | None]] = []
+        self.question: int | None = None
+        self.at, self.sizes, self.tools = array("q"), array("i"), array("b")
+        self.words: dict[str, array] = {}
+        self.names: dict[str, array] = {}
 
     def add(self, message: Message) -> None:
-        self.rows.append(message)
+        if message.speaker == "system":
+            return
         if message.speaker == "user":
-            self.questions.append(message)
+            self.question = len(self.keys)
+        self.keys.append((message.n, message.id, message.root))
+        if self.few is None:
+            self._index(len(self.keys) - 1, message)
+        else:
+            self.few.append(message)
+            if len(self.few) > FEW_ROWS:
+                for place, held in enumerate(self.few):
+                    self._index(place, held)
+                self.few = None
+
+    def _index(self, place: int, message: Message) -> None:
+        self.at.append(message.at)
+        self.sizes.append(len(message.words))
+        self.tools.append(message.speaker == "tool")
+        for places, found in ((self.words, message.words), (self.names, message.names)):
+            for term in found:
+                places.setdefault(term, array("i")).append(place)
+
+    def _scores(self, message: Message) -> np.ndarray:
+        """``link_score`` of all candidates."""
+        shared, named = np.zeros(len(self.at), np.int32), np.zeros(len(self.at))
+        for term in message.words:
+            if term in self.words:
+                shared[np.frombuffer(self.words[term], np.int32)] += 1
+        for term in message.names:
+            if term in self.names:
+                named[np.frombuffer(self.names[term], np.int32)] = 1.0
+        closeness = 1.0 / (1.0 + np.maximum((message.at - np.frombuffer(self.at, np.int64)) / 6e8, 0.0))
+        return closeness + named + shared / np.maximum(np.minimum(np.frombuffer(self.sizes, np.int32), len(message.words)), 1)
+
+    def link(self, message: Message, opening: int | None) -> tuple[tuple[int, int, int | None] | None, float | None]:
+        """Place, id and root of the likeliest parent, and its score; of equal scores the earlier one. System rows have none."""
+        if message.speaker == "system" or not self.keys:
+            return None, None
+        asks = message.speaker == "user"
+        opens = self.question if not asks and self.question is not None and self.keys[self.question][1] == opening else None
+        if self.few is None:
+            scores = self._scores(message)
+            if asks:
+                scores[np.frombuffer(self.tools, np.int8) == 1] = -np.inf
+            if opens is not None:
+                scores[opens] += TURN_BONUS
+            best = int(scores.argmax())
+            most = float(scores[best])
+        else:
+            best, most = 0, float("-inf")
+            for place, candidate in enumerate(self.few):
+                if asks and candidate.speaker == "tool":
+                    continue
+                score = link_score(message, candidate) + (TURN_BONUS if place == opens else 0.0)
+                if score > most:
+                    best, most = place, score
+        return (self.keys[best], most) if most > float("-inf") else (None, None)
 
-    def opening(self) -> int | None:
-        return self.questions[-1].id if self.questions else None
 
-    def link(self, message: Message) -> tuple[Message | None, float | None]:
-        """The likeliest parent and its score; of equal scores the earlier one. System rows and what opens a topic have none."""
-        if message.speaker == "system":
-            return None, None
-        asks, opening = message.speaker == "user", self.opening()
-        best, most = None, float("-inf")
-        near = {m.id for m in self.rows}
-        for candidate in (*(q for q in self.questions if q.id not in near), *self.rows):
-            if candidate.speaker == "system" or (asks and candidate.speaker == "tool"):
-                continue
-            score = link_score(message, candidate) + (TURN_BONUS if not asks and candidate.id == opening else 0.0)
-            if score > most:
-                best, most = candidate, score
-        return (best, round(most, 6)) if best is not None and (not asks or most >= FOLLOW_UP) else (None, None)
+PASSED = [KEY, "part", "id", "speaker", "content", "created_at"]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links the rows of sorted (thread, partition) runs; rows marked ``halo`` only fill the channel."""
-    place, channel, n = None, Channel(), 0
+def _linked(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Links the rows of sorted (thread, partition) runs within blocks; a row marked ``halo`` is the last question before the run."""
+    place, channel, n, opening = None, Channel(), 0, None
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     for batch in batches:
         own, out = [], ([], [], [], [], [], [])
         columns = [batch[c].to_pylist() for c in (KEY, "part", "id", "speaker", "at", "content", "halo")]
         for thread, part, id_, speaker, at, content, halo in zip(*columns):
             if (thread, part) != place:
-                place, channel, n = (thread, part), Channel(), 0
-            message = Message(id_, speaker, at, content, halo)
+                place, n, opening = (thread, part), 0, None
             own.append(not halo)
-            if not halo:
-                parent, score = channel.link(message)
-                if parent is not None and speaker != "user":
-                    message.root, message.via = parent.root, parent.via
-                known = message.root is not None
-                row = (n, parent and parent.id, score, message.root if known else message.via, not known and message.via is not None, id_ if speaker == "user" else channel.opening())
-                for column, value in zip(out, row):
-                    column.append(value)
-                n += 1
+            if halo:
+                opening = id_
+                continue
+            if n % block_rows == 0:
+                channel = Channel()
+            message = Message(n, id_, speaker, at, content)
+            parent, score = channel.link(message, opening)
+            if speaker == "user":
+                opening = id_
+            elif parent is not None:
+                message.root = parent[2]
+            for column, value in zip(out, (n, parent and parent[0], parent and parent[1], score, message.root, opening)):
+                column.append(value)
             channel.add(message)
+            n += 1
         kept = pa.RecordBatch.from_arrays([batch[c] for c in PASSED], PASSED).filter(pa.array(own, pa.bool_()))
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(out, types))], [*PASSED, "n", "reply_to", "link_score", "root_id", "root_open", "turn_id"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(out, types))], [*PASSED, "n", "reply_n", "reply_to", "link_score", "root_id", "turn_id"])
 
 
-PASSED = [KEY, "part", "id", "speaker", "content", "created_at"]
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The likeliest parent in an earlier block for each row of a later one; input sorted by both, the earlier block's rows first."""
+    place, channel = None, Channel()
+    for batch in batches:
+        out = ([], [], [], [], [])
+        columns = [batch[c].to_pylist() for c in (KEY, "earlier", "later", "asking", "position", "id", "speaker", "at", "content", "turn_id")]
+        for thread, earlier, later, asking, position, id_, speaker, at, content, turn in zip(*columns):
+            if (thread, earlier, later) != place:
+                place, channel = (thread, earlier, later), Channel()
+            message = Message(position, id_, speaker, at, content)
+            if not asking:
+                channel.add(message)
+                continue
+            parent, score = channel.link(message, turn)
+            if parent is not None:
+                for column, value in zip(out, (thread, position, parent[0], parent[1], score)):
+                    column.append(value)
+        types = (batch.schema.field(KEY).type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [KEY, "position", "reply_n", "reply_to", "link_score"])
 
 
-def _halo(ordered: DataFrame) -> DataFrame:
-    """(KEY, part, rows): the latest rows and questions of earlier partitions, for threads in several partitions.
+def _best_of_blocks(rows: DataFrame) -> DataFrame:
+    """(KEY, position, reply_n, reply_to, link_score): the likeliest parent of a thread's rows among its blocks; input also has their own block's.
 
-    At most ``RECENT_ROWS + RECENT_QUESTIONS`` rows for each of a thread's partitions, so at most twice that a partition.
+    Each pair of blocks is one piece of work for one task, so no task holds more than a block of candidates; the rows of a
+    thread are sent once for each other block it has.
     """
-    parts = ordered.groupBy(KEY, "part").agg(F.count("*").alias("n"))
-    spread = parts.withColumn("of", F.count("*").over(Window.partitionBy(KEY))).where("of > 1").select(KEY, "part")
-    row = F.struct("created_at", "id", "speaker", "content")
-    local = Window.partitionBy(KEY, "part")
-    late = Window.partitionBy(KEY, "part").orderBy(F.desc("created_at"), F.desc("id"))
+    spark = rows.sparkSession
+    blocks = rows.select(KEY, "block").distinct()
+    pairs = blocks.select(KEY, F.col("block").alias("earlier")).join(blocks.select(KEY, F.col("block").alias("later")), KEY).where("earlier < later")
+    told = rows.where("speaker <> 'system'").select(KEY, "block", "position", "id", "speaker", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), "content", "turn_id")
+    sides = [
+        told.withColumnRenamed("block", side).join(pairs, [KEY, side]).select(KEY, "earlier", "later", F.lit(side == "later").alias("asking"), "position", "id", "speaker", "at", "content", "turn_id")
+        for side in ("earlier", "later")
+    ]
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)  # fixed, since AQE would join partitions that are small but slow
+    sent = sides[0].unionByName(sides[1]).repartition(wide, KEY, "earlier", "later").sortWithinPartitions(KEY, "earlier", "later", "asking", "position")
+    crossed = sent.mapInArrow(_crossed, f"{KEY} {rows.schema[KEY].dataType.simpleString()}, position long, reply_n long, reply_to long, link_score double")
+    own = rows.where("link_score is not null").select(*crossed.columns)
+    best = F.max(F.struct("link_score", (-F.col("reply_n")).alias("back"), "reply_to"))
+    return crossed.unionByName(own).groupBy(KEY, "position").agg(best.alias("b")).select(KEY, "position", (-F.col("b.back")).alias("reply_n"), "b.reply_to", "b.link_score")
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """(KEY, position, root_id) by pointer doubling; input (KEY, position, id, speaker, reply_n)."""
     asks = F.col("speaker") == "user"
-    ranked = (
-        ordered.join(spread, [KEY, "part"], "left_semi").withColumn("back", F.row_number().over(late))
-        .withColumn("asked_back", F.count(F.when(asks, True)).over(late.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    tails = ranked.where((F.col("back") <= RECENT_ROWS) | (asks & (F.col("asked_back") <= RECENT_QUESTIONS)))
-    each = tails.groupBy(KEY, "part").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    before = Window.partitionBy(KEY).orderBy("part").rowsBetween(-RECENT_ROWS - RECENT_QUESTIONS, -1)
-    held = each.withColumn("earlier", F.flatten(F.collect_list("rows").over(before))).where(F.size("earlier") > 0)
-    questions = F.filter("earlier", lambda r: r["speaker"] == "user")
-    last = lambda c, k: F.slice(c, F.greatest(F.size(c) - k + 1, F.lit(1)), k)
-    both = F.array_sort(F.array_union(last(F.col("earlier"), RECENT_ROWS), last(questions, RECENT_QUESTIONS)))
-    return held.select(KEY, "part", both.alias("rows"))
-
-
-def _roots(links: DataFrame) -> DataFrame:
-    """The links with ``root_id`` told where an earlier partition's row stands for it, by pointer doubling over such rows."""
-    wanted = links.where("root_open").select(KEY, F.col("root_id").alias("id")).distinct()
-    known = cut(links.join(wanted, [KEY, "id"], "left_semi").select(KEY, "id", F.col("root_id").alias("to"), F.col("root_open").alias("open")))
-    while not known.where("open").isEmpty():
-        step = known.select(KEY, F.col("id").alias("to"), F.col("to").alias("to2"), F.col("open").alias("open2"))
-        known = cut(known.join(step.withColumn("open", F.lit(True)), [KEY, "to", "open"], "left").select(KEY, "id", F.when(F.col("open"), F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("open") & F.coalesce("open2", F.lit(False))).alias("open")))
-    found = known.select(KEY, F.col("id").alias("root_id"), F.col("to").alias("told"), F.lit(True).alias("root_open"))
-    return links.join(found, [KEY, "root_id", "root_open"], "left").withColumn("root_id", F.when(F.col("root_open"), F.col("told")).otherwise(F.col("root_id"))).drop("told")
-
-
-def reply_links(ordered: DataFrame) -> DataFrame:
+    known = cut(rows.select(KEY, "position", F.when(~asks, F.col("reply_n")).alias("to"), F.when(asks, F.col("id")).alias("root_id")))
+    while not known.where("to is not null").isEmpty():
+        step = known.select(KEY, F.col("position").alias("to"), F.col("to").alias("next"), F.col("root_id").alias("met"))
+        known = cut(known.join(step, [KEY, "to"], "left").select(KEY, "position", F.col("next").alias("to"), F.coalesce("root_id", "met").alias("root_id")))
+    return known.select(KEY, "position", "root_id")
+
+
+def reply_links(ordered: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each message with ``reply_to``, ``link_score``, ``root_id``, ``turn_id`` and ``position`` (from 0); input from ``in_order``.
 
-    Candidates for a message are the ``RECENT_ROWS`` rows and ``RECENT_QUESTIONS`` questions before it in its thread, across
-    turns; for a question tools' rows are none. The candidate of the highest ``link_score`` is the parent, on equal ones the
-    earlier; a question below ``FOLLOW_UP`` for all has none, nor have system rows. ``root_id`` is the first question met when
-    links are followed, its own id for a question; null where they lead to none. ``turn_id`` is the last question up to the
-    message, null before the first. One pass over rows sorted by (thread, created_at, id) with a bounded memory; what a
-    partition needs of earlier ones comes as extra rows.
+    Candidates for a message are all rows before it in its thread but system ones; for a question tools' rows are none. The
+    candidate of the highest ``link_score`` is the parent, on equal ones the earlier; a question below ``FOLLOW_UP`` for all
+    has none, nor have system rows. ``root_id`` is the first question met when links are followed, its own id for a question;
+    null where they lead to none. ``turn_id`` is the last question up to the message, null before the first. One pass over
+    rows sorted by (thread, created_at, id) links them within blocks, that is up to ``block_rows`` rows of a thread in one
+    partition; threads of several blocks are then compared block by block, so the work for one grows with its square.
     """
     own = ordered.withColumn("halo", F.lit(False))
-    halo = _halo(ordered).select(KEY, "part", F.explode("rows").alias("r")).select(KEY, "part", "r.*", F.lit(True).alias("halo"))
-    rows = own.unionByName(halo).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
+    opening = carried(ordered, {"opening": F.when(F.col("speaker") == "user", F.col("id"))}).where("opening is not null")
+    halo = opening.select(KEY, "part", F.col("opening").alias("id"), F.lit(True).alias("halo"))
+    rows = own.unionByName(halo, allowMissingColumns=True).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
     sent = rows.repartition(KEY, "part").sortWithinPartitions(KEY, "part", F.desc("halo"), "created_at", "id")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.select(*PASSED).schema)
-    links = cut(sent.select(*PASSED, "at", "halo").mapInArrow(_linked, f"{kinds}, n long, reply_to long, link_score double, root_id long, root_open boolean, turn_id long"))
-    if not links.where("root_open").isEmpty():
-        links = _roots(links)
-    sizes = ordered.groupBy(KEY, "part").agg(F.count("*").alias("rows"))
-    earlier = Window.partitionBy(KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(KEY, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")).where("offset > 0")
-    return links.join(offsets, [KEY, "part"], "left").select(
-        KEY, (F.col("n") + F.coalesce("offset", F.lit(0))).cast("long").alias("position"), "id", "speaker", "content", "created_at", "reply_to", "link_score", "root_id", "turn_id"
+    links = cut(sent.select(*PASSED, "at", "halo").mapInArrow(lambda batches: _linked(batches, block_rows), f"{kinds}, n long, reply_n long, reply_to long, link_score double, root_id long, turn_id long"))
+    sizes = links.groupBy(KEY, "part").agg(F.count("*").alias("rows"))
+    many, earlier = Window.partitionBy(KEY), Window.partitionBy(KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")
+    several = cut(sizes.select(KEY, "part", offset, F.sum(F.ceil(F.col("rows") / block_rows)).over(many).alias("blocks")).where("blocks > 1").drop("blocks"))
+    if several.isEmpty():
+        told = links.withColumn("position", F.col("n"))
+    else:
+        block = F.col("part").cast("long") * 2**32 + F.floor(F.col("n") / block_rows)
+        long_ = cut(links.join(several, [KEY, "part"]).withColumn("position", F.col("n") + F.col("offset")).withColumn("block", block).withColumn("reply_n", F.col("reply_n") + F.col("offset")))
+        best = cut(_best_of_blocks(long_))
+        place = long_.select(KEY, "position", "part", "n", "id", "speaker").join(best, [KEY, "position"], "left")
+        new = place.join(_roots(place), [KEY, "position"]).select(KEY, "part", "n", F.struct("position", "reply_to", "link_score", "root_id").alias("new"))
+        chosen = lambda c: F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col(c)).alias(c)
+        told = links.withColumn("position", F.col("n")).join(new, [KEY, "part", "n"], "left").select(
+            KEY, "id", "speaker", "content", "created_at", "turn_id", *[chosen(c) for c in ("position", "reply_to", "link_score", "root_id")]
+        )
+    linked = (F.col("speaker") != "user") | (F.col("link_score") >= FOLLOW_UP)
+    return told.select(
+        KEY, F.col("position").cast("long").alias("position"), "id", "speaker", "content", "created_at",
+        F.when(linked, F.col("reply_to")).alias("reply_to"), F.when(linked, F.round("link_score", 6)).alias("link_score"), "root_id", "turn_id",
     )
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,6 +76,50 @@ def test_interleaved_questions_are_told_apart_by_scores(spark, monkeypatch):
     assert by_tree == {1: "no_reply", 2: "no_reply"} and confirmed == {1: "no_reply"}
 
 
+def test_a_parent_may_lie_any_number_of_rows_and_questions_back(spark):
+    rows = [(1, "user", "Which night job rebuilds order_sync?", 0), (1, "assistant", "Wait.", 1)]
+    for k in range(20):
+        rows += [(1, "user", f"What is item_{k} for?", 2 + 2 * k), (1, "assistant", f"item_{k} is stored.", 3 + 2 * k)]
+    rows += [(1, "user", "Anything else?", 50), (1, "assistant", "order_sync: a night job rebuilds", 51)]
+    threads, messages = build(spark, [1], rows)
+    told = chat.merged(messages).where(~chat.F.col("blank"))
+    for size in (chat.BLOCK_ROWS, 5):
+        links = chat.reply_links(chat.in_order(told.drop("blank")), size)
+        assert {r.id: (r.reply_to, r.root_id, r.turn_id) for r in links.where("id > 41").collect()} == {42: (None, 42, 42), 43: (0, 0, 42)}
+        assert {r.thread_db_id: r.reason for r in chat.thread_faults(threads, told, links, confirm=False).collect()} == {1: "no_reply"}
+        assert chat.thread_faults(threads, told, links).count() == 0
+
+
+@pytest.mark.parametrize("size, parts", [(chat.BLOCK_ROWS, 1), (16, 1), (70, 5)])
+def test_links_are_the_best_of_all_earlier_rows(spark, size, parts):
+    draw = random.Random(3)
+    words = [f"w{k}" for k in range(12)] + [f"name_{k}" for k in range(40)]
+    rows = [(1 + (i > 240), draw.choice(["user", "assistant", "assistant", "tool", "system"]), " ".join(draw.choices(words, k=draw.randint(1, 6))) + f" {i}", 5 * (i // 3)) for i in range(260)]
+    messages = build(spark, [1, 2], rows)[1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.id: (r.position, r.reply_to, r.link_score, r.root_id, r.turn_id) for r in chat.reply_links(chat.in_order(chat.merged(messages).drop("blank")), size).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wanted, earlier, opening = {}, {1: [], 2: []}, {}
+    for i, (thread, speaker, content, minute) in enumerate(rows):
+        message = chat.Message(i, i, speaker, minute * 60_000_000, content)
+        asks, fit = speaker == "user", [m for m in earlier[thread] if m.speaker != "system" and not (speaker == "user" and m.speaker == "tool")]
+        scored = [(chat.link_score(message, m) + (chat.TURN_BONUS if not asks and m.id == opening.get(thread) else 0.0), -m.n, m) for m in fit if speaker != "system"]
+        score, _, parent = max(scored, key=lambda s: s[:2], default=(None, None, None))
+        if asks:
+            opening[thread] = i
+        elif parent is not None:
+            message.root = parent.root
+        if parent is None or (asks and score < chat.FOLLOW_UP):
+            score = parent = None
+        wanted[i] = (len(earlier[thread]), parent and parent.id, score and round(score, 6), message.root, opening.get(thread))
+        earlier[thread].append(message)
+    assert got == wanted
+
+
 def test_empty_tables(spark):
     threads, messages = build(spark, [1], [(1, "user", "q")])
     sound, bad = chat.conversations(threads.limit(0), messages)
